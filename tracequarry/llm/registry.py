@@ -14,6 +14,31 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), piece_bpe.default_path())
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import exact_dedup
+
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
@@ -27,7 +52,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op7_token_store, op9_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op4_exact_dedup, op6_secrets, op7_token_store, op9_packing, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
