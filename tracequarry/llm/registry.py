@@ -21,12 +21,26 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact_dedup
 
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -45,6 +59,12 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passages
+
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -52,7 +72,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op4_exact_dedup, op6_secrets, op7_token_store, op9_packing, op10_ann)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_toxicity, op4_exact_dedup, op5_line_dedup, op6_secrets, op7_token_store, op8_passages, op9_packing, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
