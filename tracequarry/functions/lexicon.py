@@ -44,7 +44,7 @@ def asserted(normal: Column, term: str, rank: int, hedges: bool) -> Column:
     """Does the term's first place in a normalised text count? Later places are not looked at."""
     here = whole(term)
     before = F.regexp_extract(normal, f"(?s)^(.*?){here}", 1)
-    counts = normal.rlike(here) & ~denied(before)
+    counts = F.contains(normal, F.lit(term)) & normal.rlike(here) & ~denied(before)  # most terms are absent: a plain search tells so first
     if hedges and rank >= 2:
         counts &= ~hedged(before, F.regexp_extract(normal, f"(?s)^.*?{here}(.*)$", 1))
     return counts
@@ -86,7 +86,13 @@ def guardrail_words(normal: Column) -> Column:
     return F.array_distinct(F.filter(words, keep))
 
 
-def retained(normal: Column, words: Column) -> Column:
-    """Those of words that a normalised text holds: whole words if ASCII, else any place."""
+def tokens(normal: Column) -> Column:
+    """Runs of ASCII letters, digits and underscores."""
+    return F.split(normal, "[^A-Za-z0-9_]+")
+
+
+def retained(normal: Column, own: Column, words: Column) -> Column:
+    """Those of words that a normalised text holds: whole words if ASCII, else any place. own: a column of the text's tokens."""
     edge = lambda w: F.concat(F.lit(LEFT + r"\Q"), w, F.lit(r"\E" + RIGHT))
-    return F.filter(words, lambda w: F.contains(normal, w) & (w.rlike(r"[^\x00-\x7F]") | F.rlike(normal, edge(w))))
+    held = lambda w: F.when(w.rlike("^[A-Za-z0-9_]+$"), F.array_contains(own, w)).otherwise(w.rlike(r"[^\x00-\x7F]") | F.rlike(normal, edge(w)))
+    return F.filter(words, lambda w: F.contains(normal, w) & held(w))

@@ -37,35 +37,48 @@ SIDE = r"^([$€£₩]?)\s*([0-9]+(?:\.[0-9]+)?)\s*(.*)$"
 
 
 def literal_map(items: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in items.items() for x in pair])
+    return F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in items.items() for x in pair])
 
 
 def plain_number(value: Column) -> Column:
     """Twelve significant digits, shortest form."""
     text = F.format_string("%.11e", value).try_cast("decimal(38,18)").cast("string")
-    short = F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
-    return F.coalesce(short, value.cast("string"))
+    short = bound(text, lambda t: F.when(F.contains(t, F.lit(".")), F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))).otherwise(t))
+    return F.when((value == F.floor(value)) & (value < 1e12), value.cast("long").cast("string")).otherwise(F.coalesce(short, value.cast("string")))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once: a lambda's variable stands for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def quantity_side(side: Column) -> Column:
-    currency, number = F.regexp_extract(side, SIDE, 1), F.regexp_extract(side, SIDE, 2)
-    unit = F.trim(F.regexp_extract(side, SIDE, 3))
-    single = F.regexp_replace(unit, f"{LEFT}({either(NOUNS)})s{RIGHT}", "$1")
-    bare = F.regexp_replace(single, "s$", "")
-    money = currency != ""
-    base = F.try_element_at(literal_map({n: b for n, (b, _) in METRIC.items()}), bare)
-    factor = F.try_element_at(literal_map({n: f for n, (_, f) in METRIC.items()}), bare)
+    groups = F.struct(F.regexp_extract(side, SIDE, 1).alias("currency"), F.regexp_extract(side, SIDE, 2).alias("number"), F.trim(F.regexp_extract(side, SIDE, 3)).alias("unit"))
+    return bound(groups, lambda g: F.when(g["number"] == "", F.regexp_replace(side, r"\s+", "")).when(g["unit"] == "", F.concat(g["currency"], plain_number(g["number"].try_cast("double")))).otherwise(with_unit(g)))
+
+
+def with_unit(g: Column) -> Column:
+    single = F.regexp_replace(g["unit"], f"{LEFT}({either(NOUNS)})s{RIGHT}", "$1")
+    money, unit = g["currency"] != "", g["unit"]
     times = F.when(unit.isin("thousand", "k"), 1e3).when((unit == "million") | (unit == "m") & money, 1e6).when((unit == "billion") | (unit == "b") & money, 1e9)
-    value = number.try_cast("double") * F.coalesce(times, factor, F.lit(1.0))
-    name = F.when(times.isNotNull(), "").otherwise(F.coalesce(base, single))
-    return F.when(side.rlike(SIDE), F.concat(currency, plain_number(value), name)).otherwise(F.regexp_replace(side, r"\s+", ""))
+    kinds = literal_map({n: F.struct(F.lit(b).alias("base"), F.lit(f).alias("factor")) for n, (b, f) in METRIC.items()})
+
+    def told(x: Column) -> Column:
+        value = g["number"].try_cast("double") * F.coalesce(x["times"], x["metric"]["factor"], F.lit(1.0))
+        return F.concat(g["currency"], plain_number(value), F.when(x["times"].isNotNull(), "").otherwise(F.coalesce(x["metric"]["base"], x["single"])))
+
+    return bound(single, lambda s: bound(F.struct(times.alias("times"), F.try_element_at(kinds, F.regexp_replace(s, "s$", "")).alias("metric"), s.alias("single")), told))
+
+
+def where_held(word: str, pattern: str, new: str):
+    return lambda t: F.when(F.contains(t, F.lit(word)), F.regexp_replace(t, pattern, new)).otherwise(t)
 
 
 def quantity(raw: Column) -> Column:
     """Canonical form of one quantity or range."""
     token = F.replace(normalised(raw), F.lit(","), F.lit(""))
-    for pattern, new in ((whole("percentage points?"), "pp"), (whole("percent"), "%"), (r"\s+to\s+", "-")):
-        token = F.regexp_replace(token, pattern, new)
+    for word, pattern, new in (("percentage", whole("percentage points?"), "pp"), ("percent", whole("percent"), "%"), ("to", r"\s+to\s+", "-")):
+        token = bound(token, where_held(word, pattern, new))
     sides = F.filter(F.transform(F.split(token, "-"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.transform(sides, quantity_side), "-")
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space, wherever a pattern below has BLANK.
-SPACES = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-BLANK = f"[{SPACES}]"
+#: The intersection lets one comparison rule out most characters.
+BLANK = r"[\s\x{A0}[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
 #: Word edges that know ASCII letters only.
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
@@ -51,13 +51,18 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
 
 
-def excerpt(text: Column, terms: Column) -> Column:
-    """Up to 150 characters around the first of terms that the compacted text holds; a dash for an empty one."""
-    flat = compact(F.coalesce(text, F.lit("")))
+def flat(text: Column) -> Column:
+    return compact(F.coalesce(text, F.lit("")))
+
+
+def excerpt(flat: Column, terms: Column) -> Column:
+    """Up to 150 characters of a compacted text around the first of terms that it holds; a dash for an empty one."""
     low = F.lower(flat)
     at = F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, F.lower(t))), lambda p: p > 0))
-    start = F.greatest(at - 1 - 54, F.lit(0))
-    end = F.least(F.length(flat), at - 1 + 96)
-    around = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(flat, start + 1, end - start), F.when(end < F.length(flat), "…").otherwise(""))
-    plain = F.when(F.length(flat) > 150, F.concat(F.substring(flat, 1, 147), F.lit("…"))).otherwise(flat)
-    return F.when(flat == "", F.lit("—")).when(at.isNull(), plain).otherwise(around)
+
+    def cut(at: Column) -> Column:
+        start, end = F.greatest(at - 1 - 54, F.lit(0)), F.least(F.length(flat), at - 1 + 96)
+        around = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(flat, start + 1, end - start), F.when(end < F.length(flat), "…").otherwise(""))
+        return F.when(at.isNotNull(), around).otherwise(F.when(F.length(flat) > 150, F.concat(F.substring(flat, 1, 147), F.lit("…"))).otherwise(flat))
+
+    return F.when(flat == "", F.lit("—")).otherwise(F.get(F.transform(F.array(at), cut), F.lit(0)))

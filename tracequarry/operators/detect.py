@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import excerpt, normalised
+from ..functions.text import excerpt, flat, normalised
 from .signals import with_signals
 
 ISSUE_FIELDS = "ord int, type string, family string, severity string, title string, explanation string, before_terms array<string>, after_terms array<string>, rule string"
@@ -108,10 +108,18 @@ def missing_content(p: Column, c: Column) -> Column:
     return F.when((p["text"] == "") | (c["text"] == ""), issue(0, "coverage", "high", "Stage content is missing", text))
 
 
-def guardrail_breach(p: Column, c: Column, guard: Column) -> Column:
-    """guard: struct(normal, words, blocks). A completed action comes before a dropped instruction."""
+def with_kept(edges: DataFrame) -> DataFrame:
+    """Add guard, struct(normal, words, blocks), and the instruction's words that both ends hold: kept_before and kept."""
+    there, out = F.col("guard.normal") != "", edges.withColumn("guard", guard_of(F.col("guardrail")))
+    for side, name in (("p", "kept_before"), ("c", "kept")):
+        out = out.withColumn(f"{side}_tokens", F.when(there, lexicon.tokens(F.col(f"{side}.normal"))))
+        out = out.withColumn(name, F.when(there, lexicon.retained(F.col(f"{side}.normal"), F.col(f"{side}_tokens"), F.col("guard.words"))))
+    return out
+
+
+def guardrail_breach(p: Column, c: Column, guard: Column, kept_before: Column, kept: Column) -> Column:
+    """A completed action comes before a dropped instruction."""
     words = guard["words"]
-    kept, kept_before = lexicon.retained(c["normal"], words), lexicon.retained(p["normal"], words)
     share = lambda x: F.when(F.size(words) > 0, F.size(x) / F.size(words)).otherwise(1.0)
     done = c["sig"]["actions"]
     acted = issue(1000, "guardrail", "high", "Protected action appears completed", F.concat(F.lit("The instruction holds back external actions, yet this stage reports “"), F.element_at(done, 1), F.lit("”.")), words, done)
@@ -158,7 +166,7 @@ def edge_issues(edges: DataFrame, rules=(), built_in: bool = True, scan: str = "
     p, c = F.col("p"), F.col("c")
     rules = checked_rules(rules)
     if built_in:
-        edges = edges.withColumn("guard", guard_of(F.col("guardrail"))).withColumn("breach", guardrail_breach(p, c, F.col("guard")))
+        edges = with_kept(edges).withColumn("breach", guardrail_breach(p, c, F.col("guard"), F.col("kept_before"), F.col("kept")))
         if scan == "run":
             first = F.min(F.when(F.col("breach").isNotNull(), F.col("edge_index"))).over(Window.partitionBy("run_id"))
             edges = edges.withColumn("breach", F.when(F.col("edge_index") == first, F.col("breach")))
@@ -171,10 +179,10 @@ def edge_issues(edges: DataFrame, rules=(), built_in: bool = True, scan: str = "
     found = F.when(gone.isNotNull(), F.array(gone).cast(kind)).otherwise(present)
     if built_in:
         found = F.concat(found, F.array(F.col("breach"), F.when(F.col("coverage_labels").isNotNull(), coverage_issue(F.col("coverage_labels")))).cast(kind))
-    rows = edges.select("run_id", "edge_index", p["label"].alias("from_label"), c["label"].alias("to_label"), p["text"].alias("pt"), c["text"].alias("ct"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    rows = edges.select("run_id", "edge_index", p["label"].alias("from_label"), c["label"].alias("to_label"), flat(p["text"]).alias("pt"), flat(c["text"]).alias("ct"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
     rows = rows.select("run_id", "edge_index", "from_label", "to_label", "pt", "ct", "x.*")
     if judge is not None:
-        ends = edges.select("run_id", "edge_index", p["label"].alias("from_label"), c["label"].alias("to_label"), p["text"].alias("pt"), c["text"].alias("ct"))
+        ends = edges.select("run_id", "edge_index", p["label"].alias("from_label"), c["label"].alias("to_label"), flat(p["text"]).alias("pt"), flat(c["text"]).alias("ct"))
         own = judge.select("run_id", "edge_index", F.lit(999).alias("ord"), F.lit("custom").alias("type"), F.lit("meaning").alias("family"), "severity", "title", "explanation", none().alias("before_terms"), none().alias("after_terms"), F.concat(F.lit(f"{JUDGE}-"), F.row_number().over(Window.partitionBy("run_id", "edge_index").orderBy("severity", "title", "explanation")).cast("string")).alias("rule"))
         rows = rows.unionByName(ends.join(own, ["run_id", "edge_index"]))
     name = F.when(F.col("rule").isNotNull(), F.concat(F.lit("custom-"), "rule")).otherwise(F.concat("type", F.lit("-"), "title"))

@@ -207,7 +207,7 @@ def review_counts(spark, sf_dir):
     return rollup.review_counts(found, verdicts(found))
 
 
-@query(O + f", v AS (SELECT run_id, count(DISTINCT type) AS t, count({VER}) AS r FROM iss GROUP BY run_id) SELECT summ.run_id, first_break, CASE WHEN first_break IS NULL THEN 0 ELSE greatest(0, n_stages - first_break - 1) END AS contaminated, coalesce(t, 0) AS signal_types, coalesce(r, 0) AS reviewed, n_issues AS total, CASE WHEN n_issues = 0 THEN 100 ELSE CAST(round(100 * CAST(r AS DOUBLE) / n_issues) AS INT) END AS review_percent FROM summ LEFT JOIN v ON v.run_id = summ.run_id")
+@query(O + f", v AS (SELECT run_id, count(DISTINCT type) AS t, count({VER}) AS r FROM iss GROUP BY run_id) SELECT summ.run_id, first_break, CASE WHEN first_break IS NULL THEN 0 ELSE greatest(0, n_stages - first_break - 1) END AS contaminated, coalesce(t, 0) AS signal_types, coalesce(v.r, 0) AS reviewed, n_issues AS total, CASE WHEN n_issues = 0 THEN 100 ELSE CAST(round(100 * CAST(v.r AS DOUBLE) / n_issues) AS INT) END AS review_percent FROM summ LEFT JOIN v ON v.run_id = summ.run_id")
 def receipt(spark, sf_dir):
     st, found = orders(spark, sf_dir)
     return report.receipt(st, found, verdicts(found))
@@ -248,8 +248,8 @@ def script_coverage(spark, sf_dir):
 @query(f"WITH st AS ({duck('order')}), n AS (SELECT run_id, stage_index, {sql.normal('text')} AS n, {sql.WORDS} AS words FROM st WHERE guardrail IS NOT NULL) SELECT run_id, stage_index, CAST(len(words) AS INT) AS n_words, CAST(len(list_filter(words, lambda w: regexp_matches(n, concat('\\b', w, '\\b')))) AS INT) AS n_retained FROM n")
 def guardrail_retention(spark, sf_dir):
     st = view(spark, sf_dir, "order").filter("guardrail is not null")
-    words = lx.guardrail_words(tx.normalised(F.col("guardrail")))
-    return st.select("run_id", "stage_index", F.size(words).alias("n_words"), F.size(lx.retained(tx.normalised(F.col("text")), words)).alias("n_retained"))
+    own = st.withColumn("words", lx.guardrail_words(tx.normalised(F.col("guardrail")))).withColumn("n", tx.normalised(F.col("text"))).withColumn("own", lx.tokens(F.col("n")))
+    return own.select("run_id", "stage_index", F.size("words").alias("n_words"), F.size(lx.retained(F.col("n"), F.col("own"), F.col("words"))).alias("n_retained"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in lx.FAMILY.items()) + ") t(type, family)")

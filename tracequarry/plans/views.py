@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import configure
+
 CONV = """
 SELECT CAST(conv_id AS STRING) AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS stage_index,
        concat('turn-', CAST(turn AS STRING)) AS id, role AS label, text,
@@ -48,6 +50,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
+    configure(spark)
     for t in TABLES:
         if f"FROM {t})" in sql or f"FROM {t} " in sql or sql.endswith(f"FROM {t}"):
             sql = sql.replace(f"FROM {t}", "FROM {" + t + "}")
