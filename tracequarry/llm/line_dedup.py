@@ -84,6 +84,7 @@ def decisions(docs: DataFrame, least: int = LEAST, fuzzy: bool = True) -> DataFr
     if fuzzy:
         half = texts.select(F.explode(split_lines(F.col("text"))).alias("line")).filter(F.length("line") >= least)
         half = half.select(F.xxhash64("line").alias("id"), F.explode(F.transform(keys(F.col("line"), 2, False), lambda x: x["key"])).alias("key"))
+        half = stored(half, "halves")  # read twice: the texts are split once
         likely = stored(shared(half).select("id").distinct(), "likely")
         places = distinct.filter(F.col("n") >= least).join(likely, "id", "left_semi")
         by_doc = places.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_list(F.struct("place.no", "id", "check")).alias("wanted"))
