@@ -223,3 +223,31 @@ def test_pipeline_against_brute_force(spark):
     for r in got:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert max(fill.values()) <= 2048
+
+
+@pytest.mark.parametrize("gap", [40, 60, 100, 600])
+def test_passages_around_a_different_middle(spark, gap):
+    rnd = random.Random(gap)
+    size = max(60, gap * 3 // 2)
+    texts, wanted = [], {}
+    for n in range(0, 12, 2):
+        head, foot = made_words(rnd, size), made_words(rnd, size)
+        texts += [" ".join(made_words(rnd, 20) + head + made_words(rnd, gap) + foot + made_words(rnd, 20)) for _ in range(2)]
+        wanted[n + 1] = set(range(20, 20 + size)) | set(range(20 + size + gap, 20 + 2 * size + gap))
+    found = {}
+    for r in passages.repeated(frame(spark, texts)).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert set(found) == set(wanted) and all(wanted[k] <= found[k] for k in wanted)
+
+
+def test_common_subsequence_of_wide_gaps():
+    rnd = np.random.default_rng(5)
+    for n, m in ((7, 9), (80, 60), (700, 650)):
+        x, y = rnd.integers(0, 30, n).astype("u8"), rnd.integers(0, 30, m).astype("u8")
+        row = [0] * (m + 1)
+        for w in x:
+            last = row
+            row = [0]
+            for j in range(m):
+                row.append(last[j] + 1 if w == y[j] else max(row[j], last[j + 1]))
+        assert passages.agreed(x, y) == row[-1]
