@@ -251,3 +251,14 @@ def test_common_subsequence_of_wide_gaps():
             for j in range(m):
                 row.append(last[j] + 1 if w == y[j] else max(row[j], last[j + 1]))
         assert passages.agreed(x, y) == row[-1]
+
+
+def test_passages_of_common_sentences(spark):
+    rnd = random.Random(11)
+    common = [made_words(rnd, 15) for _ in range(4)]
+    whole = sum(common, [])
+    texts = [" ".join(made_words(rnd, 40) + common[i % 4] + made_words(rnd, 40)) for i in range(80)]
+    texts += [" ".join(made_words(rnd, 30) + whole + made_words(rnd, 30)), *texts[:40], " ".join(made_words(rnd, 50) + whole + made_words(rnd, 9))]
+    docs = frame(spark, texts).selectExpr("doc_id * 5000 as doc_id", "text")  # ids far apart
+    found = [r for r in passages.repeated(docs).collect() if r["doc_id"] == 121 * 5000]
+    assert [(r["start"], r["end"], r["other_id"], r["words"]) for r in found] == [(50, 110, 80 * 5000, 60)]
