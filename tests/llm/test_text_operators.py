@@ -262,3 +262,17 @@ def test_passages_of_common_sentences(spark):
     docs = frame(spark, texts).selectExpr("doc_id * 5000 as doc_id", "text")  # ids far apart
     found = [r for r in passages.repeated(docs).collect() if r["doc_id"] == 121 * 5000]
     assert [(r["start"], r["end"], r["other_id"], r["words"]) for r in found] == [(50, 110, 80 * 5000, 60)]
+
+
+def test_recall_of_fuzzy_passages(spark):
+    rnd = random.Random(13)
+    texts, wanted = [], set()
+    for n in range(240):
+        size, share = rnd.choice([60, 100, 200]), rnd.choice([0.82, 0.85, 0.9, 0.95])
+        own = made_words(rnd, size)
+        changed = set(rnd.sample(range(1, size - 1), int(size * (1 - share))))
+        texts += [" ".join(made_words(rnd, 50) + [f"x{n}-{i}" if side and i in changed else w for i, w in enumerate(own)] + made_words(rnd, 50)) for side in (0, 1)]
+        wanted.add((2 * n + 1, 2 * n))
+    found = {(r["doc_id"], r["other_id"]) for r in passages.repeated(frame(spark, texts)).collect()}
+    assert found <= wanted
+    assert len(found) >= 0.95 * len(wanted), len(found) / len(wanted)
