@@ -287,3 +287,29 @@ def test_registered_queries_have_the_columns(spark):
     assert os.path.isdir(DIR)
     for name, columns in wanted.items():
         assert registry.queries()[name](spark, DIR).columns == columns.split()
+
+
+def once(rows, k):
+    """The k best different ids of each query."""
+    best = {}
+    for q, _, j, s in rows:
+        best[q, j] = max(s, best.get((q, j), -2))
+    out = []
+    for q in {x for x, _ in best}:
+        out += [(q, r + 1, j, -s) for r, (s, j) in enumerate(sorted((-s, j) for (x, j), s in best.items() if x == q)[:k])]
+    return sorted(out)
+
+
+def test_ann_repeated_keys(spark):
+    rng = np.random.default_rng(2)
+    vectors = [rng.normal(size=8) for _ in range(60)]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(i, vectors[i].tolist()) for i in (3, 10, 20, 41) for _ in range(9)]  # a row again and again, queries among them
+    rows += [(7, (vectors[30] + rng.normal(size=8) * 1e-3).tolist()) for _ in range(9)]  # one id, many vectors next to a query's
+    rows += [(40, rng.normal(size=8).tolist()) for _ in range(3)]  # a query of several vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # One table of which all 16 axes are probed: exact, and each candidate has one chance.
+    got = sorted(map(tuple, ann.search(frame, "vec_id % 10 = 0", tables=1, probes=16).collect()))
+    expected = once(truth(rows, len(rows), 10), 5)
+    assert [x[:3] for x in got] == [x[:3] for x in expected]
+    assert np.allclose([x[3] for x in got], [x[3] for x in expected], atol=1e-12)

@@ -59,10 +59,12 @@ def usable(frame: DataFrame, vec: str = "embedding", key: str = "vec_id") -> Dat
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Rows (query_id, vec_id, score) of each query's k nearest, ties to smaller ids; a query is no candidate of its own."""
+    """Rows (query_id, vec_id, score) of each query's k nearest ids, ties to smaller ids; a query is no candidate of its own. An id counts once, by its best vector; so does a query's."""
     order = np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
     _, same = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * 8}").ravel(), return_inverse=True)
+    once = np.sort(np.unique(np.stack([ids, same], 1), axis=0, return_index=True)[1])
+    vectors, ids, same = vectors[once], ids[once], same[once]
     by = np.lexsort((np.arange(len(ids)), same))
     rank = np.arange(len(by)) - np.maximum.accumulate(np.where(np.r_[True, same[by][1:] != same[by][:-1]], np.arange(len(by)), 0))
     keep = np.sort(by[rank <= k])  # of equal vectors no more than k + 1 can count
@@ -70,12 +72,14 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     lengths = lambda x: np.sqrt((x * x).sum(1))
     nv, nq = lengths(vectors), lengths(queries)
     unit = (vectors / nv[:, None]).T
+    own_ids = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     out = []
     for a in range(0, len(queries), 256):
         q, own = queries[a : a + 256], query_ids[a : a + 256]
         rough = (q / nq[a : a + 256, None]) @ unit
         rough[own[:, None] == ids[None, :]] = -np.inf
-        least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -2.0)
+        best = rough if len(own_ids) == len(ids) else np.maximum.reduceat(rough, own_ids, axis=1)
+        least = np.partition(best, -k, axis=1)[:, -k] if len(own_ids) > k else np.full(len(q), -2.0)
         i, j = np.nonzero(rough >= np.maximum(least, -2.0)[:, None] - 1e-9)
         for c in range(0, len(i), 65536):
             x, y = i[c : c + 65536], j[c : c + 65536]
@@ -85,6 +89,8 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     qs, vs, sc = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((vs, -sc, qs))
     qs, vs, sc = qs[order], vs[order], sc[order]
+    once = np.sort(np.unique(np.stack([qs, vs], 1), axis=0, return_index=True)[1])  # the best, as it comes first
+    qs, vs, sc = qs[once], vs[once], sc[once]
     first = np.maximum.accumulate(np.where(np.r_[True, qs[1:] != qs[:-1]], np.arange(len(qs)), 0)) if len(qs) else np.zeros(0, "i8")
     top = np.arange(len(qs)) - first < k
     return qs[top], vs[top], sc[top]
@@ -96,7 +102,7 @@ def search(frame: DataFrame, is_query: Column | str, k: int = 5, vec: str = "emb
     Rows of different lengths do not meet: each length has tables of its own. Vectors that are null, zero or
     hold null or non-finite components take no part; repeated keys count once for each different vector. An empty frame gives no rows.
     """
-    rows = stored(usable(frame, vec, key), "vectors")
+    rows = stored(usable(frame, vec, key).distinct(), "vectors")
 
     def hashed(width: int):
         def run(batches):
