@@ -313,3 +313,20 @@ def test_ann_repeated_keys(spark):
     expected = once(truth(rows, len(rows), 10), 5)
     assert [x[:3] for x in got] == [x[:3] for x in expected]
     assert np.allclose([x[3] for x in got], [x[3] for x in expected], atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 8, 10, 20])
+def test_ann_small_tables_are_complete(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(n)] + [(100 + i, rng.normal(size=24).tolist()) for i in range(3)] + [(200, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(frame, "vec_id % 2 = 0", block=4).collect()))
+    expected = sorted(truth(rows, n + 3, 2))
+    others = {}
+    for q, _, j, s in expected:
+        others.setdefault(q, {})[j] = s
+    for q, near in others.items():
+        own = [x for x in got if x[0] == q]
+        assert [x[1] for x in own] == list(range(1, min(5, len(near)) + 1))
+        assert np.allclose([x[3] for x in own], [near[x[2]] for x in own], atol=1e-12)
+    assert {x[0] for x in got} == set(others)

@@ -5,7 +5,7 @@ vector's bucket is the signed axis nearest to its image. A query probes the buck
 each table, and every vector there is ranked by the exact cosine in double precision. Vectors and
 probes meet by (table, bucket, block): a bucket is cut into blocks of bounded size by a hash of
 vec_id, so one that holds a third of all rows is many tasks' work, and each block gives no more than k
-rows a query.
+rows a query. A query whose buckets hold fewer than k other ids is compared with all rows.
 """
 
 from __future__ import annotations
@@ -104,7 +104,8 @@ def search(frame: DataFrame, is_query: Column | str, k: int = 5, vec: str = "emb
     """
     rows = stored(usable(frame, vec, key).distinct(), "vectors")
 
-    def hashed(width: int):
+    def hashed(width: int):  # 0: one bucket for all
+
         def run(batches):
             import pyarrow as pa
 
@@ -116,21 +117,14 @@ def search(frame: DataFrame, is_query: Column | str, k: int = 5, vec: str = "emb
                     v = np.stack([flat[o : o + d] for o in np.concatenate([[0], np.cumsum(sizes)])[pick]])
                     raw = pa.array([x.tobytes() for x in v], pa.binary())
                     unit = v / np.sqrt((v * v).sum(1))[:, None]
-                    for t in range(tables):
-                        at = Rotations(d, tables).buckets(unit, t, width)
+                    for t in range(tables if width else 1):
+                        at = np.zeros((len(v), 1), "i4") if not width else Rotations(d, tables).buckets(unit, t, width)
                         for c in range(at.shape[1]):
                             yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array(np.full(len(v), d, "i4")), pa.array(np.full(len(v), t, "i4")), pa.array(at[:, c].astype("i4")), raw], ["id", "d", "t", "bucket", "raw"])
 
         return run
 
     schema = "id long, d int, t int, bucket int, raw binary"
-    index = rows.mapInArrow(hashed(1), schema)
-    # At most tables * 2 * dimension rows a length: broadcast.
-    blocks = stored(index.groupBy("d", "t", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
-    index = index.join(F.broadcast(blocks), ["d", "t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    asked = rows.filter(is_query).mapInArrow(hashed(probes), schema).join(F.broadcast(blocks), ["d", "t", "bucket"])
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
     def rank(left, right):
         import pandas as pd
 
@@ -141,7 +135,20 @@ def search(frame: DataFrame, is_query: Column | str, k: int = 5, vec: str = "emb
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     on = ["d", "t", "bucket", "block"]
-    near = index.select(*on, "id", "raw").groupBy(*on).cogroup(asked.select(*on, "id", "raw").groupBy(*on)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def met(index: DataFrame, asked: DataFrame) -> DataFrame:
+        # At most tables * 2 * dimension rows a length: broadcast.
+        blocks = stored(index.groupBy("d", "t", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+        index = index.join(F.broadcast(blocks), ["d", "t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        asked = asked.join(F.broadcast(blocks), ["d", "t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return index.select(*on, "id", "raw").groupBy(*on).cogroup(asked.select(*on, "id", "raw").groupBy(*on)).applyInPandas(rank, "query_id long, vec_id long, score double")
+
+    queries = rows.filter(is_query)
+    merged = lambda near: near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = stored(merged(met(rows.mapInArrow(hashed(1), schema), queries.mapInArrow(hashed(probes), schema))), "near")
+    enough = best.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = stored(queries.join(enough, "vec_id", "left_anti").select(*rows.columns), "short")
+    if not short.isEmpty():
+        best = merged(best.unionByName(met(rows.mapInArrow(hashed(0), schema), short.mapInArrow(hashed(0), schema))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
