@@ -123,3 +123,22 @@ def test_chain_payloads(spark):
         got.setdefault(r["run_id"], []).append(r["id"])
     assert got == {"events": ["a", "b", "b-2"], "stages": ["stage-1", "stage-2"]}
     assert {r["run_id"] for r in faults.collect()} == {"both", "version", "second", "junk"}
+
+
+def test_nearest_selected_span_at_any_depth(spark):
+    from tracequarry.sources import otlp
+
+    rows = [("p", "t", f"s{i}", f"s{i - 1}" if i else None, i in (0, 5)) for i in range(200)]
+    rows += [("p", "c", f"c{i}", f"c{(i + 1) % 3}", False) for i in range(3)] + [("p", "c", "tail", "c0", False), ("p", "c", "top", "tail", True), ("p", "c", "leaf", "top", False), ("p", "c", "lost", "nowhere", False)]
+    frame = spark.createDataFrame(rows, "payload_id string, trace string, span string, parent string, selected boolean")
+    up = {(t, s): (p, x) for _, t, s, p, x in rows}
+    wanted = {}
+    for t, s in up:
+        at, seen = up[t, s][0], set()
+        while at is not None and at not in seen and (t, at) in up and not up[t, at][1]:
+            seen.add(at)
+            at = up[t, at][0]
+        wanted[t, s] = at if at is not None and up.get((t, at), (None, False))[1] else None
+    assert wanted["t", "s199"] == "s5" and wanted["c", "leaf"] == "top" and wanted["c", "top"] is None
+    got = otlp.nearest_selected(frame).collect()
+    assert len(got) == len(rows) and {(r["trace"], r["span"]): r["ancestor"] for r in got} == wanted
