@@ -1,0 +1,164 @@
+"""Repeated rows, null ids, clashing names and very long lines: one result each."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracequarry.llm import common, exact_dedup, line_dedup, packing, secrets, simhash, token_store
+
+BIG = 9007199254740993
+#: Names that an operator might want for itself.
+NAMES = ["tq_own", "tq_id", "tq_doc", "tq_kept", "tq_spans", "tq_blob", "tq_len", "row", "key", "uid", "doc", "kept", "spans", "blob", "first", "h", "g", "fp", "component", "new", "own", "raw", "stay", "run", "best", "size", "check", "a.b"]
+
+
+def wide(spark, rows):
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in NAMES)
+    return spark.createDataFrame([(*r, *[f"{c} of {i}" for c in NAMES]) for i, r in enumerate(rows)], schema)
+
+
+ROWS = [(5, "a b"), (5, "ab"), (5, "a\tb"), (5, "a b"), (None, "ab"), (None, None), (None, ""), (7, None), (1, "token=abcdef1 x"), (1, "token=abcdef1 x"), (2, "clean words of a line here"), (None, "lone"), (None, "lone")]
+
+
+@pytest.mark.parametrize("call", [exact_dedup.deduplicated, simhash.representatives, secrets.redacted, line_dedup.deduplicated])
+def test_names_of_columns_do_not_matter(spark, call):
+    docs = wide(spark, ROWS).repartition(3)
+    got = call(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    plain = call(docs.select("doc_id", "text"))
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r["doc_id"], r["text"]) for r in got.collect()) == order((r["doc_id"], r["text"]) for r in plain.collect())
+    there = {tuple(r[c] for c in NAMES) for r in docs.collect()}
+    assert all(tuple(r[c] for c in NAMES) in there for r in got.collect())
+    assert call(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_keeps_one_of_each(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.deduplicated(docs).collect()), key=repr)
+    assert got == sorted([(5, "a\tb"), (7, None), (1, "token=abcdef1 x"), (2, "clean words of a line here"), (None, "lone")], key=repr)
+
+
+def test_hot_keys_join_whole(spark):
+    left = spark.createDataFrame([(i % 7 if i % 3 else 100, i) for i in range(9000)] + [(k, k) for k in range(200, 3200)], "k long, v long")
+    right = left.filter("k <> 3").groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+    got = common.hot_join(left, right, ["k"], "n", left.count())
+    assert got.count() == left.count() and got.filter("n is null").select("k").distinct().collect()[0][0] == 3
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, left.join(right, "k", "left").collect()), key=repr)
+
+
+def test_one_document_of_a_component(spark):
+    same = "one two three four five six"
+    docs = spark.createDataFrame([(3, same), (5, same), (5, "something else entirely here now"), (5, "something else entirely here now"), (None, same), (None, "bare words alone"), (None, "bare words alone")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.representatives(docs).collect()), key=repr)
+    assert got == sorted([(3, same), (5, "something else entirely here now"), (None, "bare words alone")], key=repr)
+
+
+def within_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
+
+
+def brute(rows, order):
+    """n_kept and kept numbers of each row, rows in the operator's order."""
+    seen, out = [], []
+    for at in order:
+        kept = []
+        for no, line in enumerate((rows[at][1] or "").split("\n")):
+            line = line.strip(" \t\n\x0b\x0c\r")
+            if not line or line in seen:
+                continue
+            if not (len(line) >= line_dedup.LEAST and any(len(x) >= line_dedup.LEAST and within_one(x, line) for x in seen)):
+                kept.append(no)
+            seen.append(line)
+        out.append((rows[at][0], len([x for x in (rows[at][1] or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]), len(kept), ",".join(map(str, kept))))
+    return sorted(out, key=repr)
+
+
+def test_lines_of_rows_without_or_with_one_id(spark):
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice("abcdef ") for _ in range(rnd.choice([5, 20, 40, 90]))).strip() or "x" for _ in range(25)]
+    lines += [x[:9] + "Z" + x[10:] for x in lines if len(x) > 19]
+    rows = [(rnd.choice([None, 1, 2, 3]), "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 6)))) for _ in range(60)]
+    rows += rows[:15] + [(None, None), (4, ""), (1, lines[0]), (None, lines[0]), (None, lines[0])]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, doc_id long, text string").repartition(4)
+    keys = {r["i"]: r["k"] for r in docs.fillna("", ["text"]).select("i", common.row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    order = sorted(range(len(rows)), key=lambda i: tuple(keys[i]))
+    assert sorted(map(tuple, line_dedup.report(docs).collect()), key=repr) == brute(rows, order)
+
+
+def test_very_long_lines(spark):
+    rnd = random.Random(6)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(200_000))
+    at = 123_456
+    texts = [base, base[:at] + "Q" + base[at + 1 :], base[:at] + base[at + 1 :], base[:at] + "QQ" + base[at + 2 :], "Q" + base, base + "Q", base[::-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_kept"] for r in line_dedup.report(docs).collect()} == {0: 1, 1: 0, 2: 0, 3: 0 if within_one(texts[3], texts[1]) or within_one(texts[3], texts[2]) else 1, 4: 0, 5: 0, 6: 1}
+
+
+def test_packing_leaves_ids_as_they_are(spark):
+    docs = spark.createDataFrame([(None, "a few words"), (BIG, "a few other words"), (BIG + 1, "more"), (None, "a few words"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] for r in packing.packed(docs).collect()), key=repr) == sorted([None, None, None, BIG, BIG + 1], key=repr)
+    assert packing.packed(docs.limit(0)).count() == 0
+
+
+def test_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = packing.padding(packing.packed(docs)).agg({"filled": "sum", "padded": "sum"}).first()
+    assert own["sum(padded)"] <= 0.005 * own["sum(filled)"]
+    one = spark.createDataFrame([(1, 1024), (2, 1000), (3, 24), (4, 2048)], "sequence_id long, length long")
+    assert {r["sequence_id"]: r["padded"] for r in packing.padding(one).collect()} == {1: 0, 2: 1048, 3: 2024, 4: 0}
+
+
+def test_token_store_orders_ties(spark):
+    from test_contracts import encode
+
+    rows = [(5, f"text {i % 11}") for i in range(40)] + [(None, f"bare {i % 5}") for i in range(9)] + [(i, f"own {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {(r["doc_id"], r["text"]): tuple(r["k"]) for r in docs.select("*", common.row_key(docs["doc_id"], docs["text"]).alias("k")).collect()}
+    at, expected = 0, []
+    for k, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, *key[x][2:])):
+        ids = [*encode(t), 2]
+        expected.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    for parts in (1, 7):
+        assert sorted(map(tuple, token_store.round_trip(docs.repartition(parts)).collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_keys_over_several_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(5, f"text {i}") for i in range(300)] + [(i, f"own {i}") for i in range(4)], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_store.write(docs, f"file://{tmp_path}/ids")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.filter("low <= 5 and high >= 5").count() > 1
+    asked = spark.createDataFrame([(5,), (2,), (99,)], "doc_id long")
+    got = token_store.read(asked, manifest, f"file://{tmp_path}/ids").groupBy("doc_id").count()
+    assert {r["doc_id"]: r["count"] for r in got.collect()} == {5: 300, 2: 1}
+
+
+def test_shared_folder_of_a_cluster(spark, monkeypatch):
+    assert common.one_machine("local") and common.one_machine("local[4]") and not common.one_machine("local-cluster[2,1,1024]") and not common.one_machine("spark://host:7077")
+
+    class Unset:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+        getConf = staticmethod(lambda: Unset())
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Unset(), Context()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+    Context.master = "local[2]"
+    assert common.shared_dir(Session()) == common.shared_dir(Session())

@@ -1,11 +1,13 @@
 """Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations alone.
 
 Each row becomes a digest entry; a hash deals the entries to 2^k runs. In every round the runs whose
-numbers differ in the lowest bit meet: a sort aggregate merges their sorted entries and retains, for each
-digest, the row that stays and the group's size, until one run is left. Copies shrink to one entry
-a run and task before each exchange, so a text that a third of all rows share costs its group no
-more than any other. Entries agree only if SHA-256, an unrelated 64-bit hash and the normalised length
-all do: every level verifies what it merges.
+numbers differ in the lowest bit meet: their entries are merged and of each digest the row that stays
+and the group's size are retained, until one run is left. Entries agree only if SHA-256, an unrelated 64-bit
+hash and the normalised length all do: every level verifies what it merges. Copies shrink to one entry
+a run and task before each exchange, and the way back to the rows broadcasts the few texts that many rows share.
+
+What Spark makes of the tree: a run is a logical part of a hash-dealt table, not a file, and a round is one sort aggregate, which
+sorts its part by digest. So a round moves all digests that are left (64 bytes each and less), not just one partner's run.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import hot_join, packed_rows, stored, texts_of, unpacked
 
 BLANK = r"[\x20\x09-\x0D]+"
 RUNS = 8
@@ -41,6 +43,18 @@ def keepers(entries: DataFrame, runs: int = RUNS) -> DataFrame:
     return level.drop("run")
 
 
+def decided(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+    """doc_id, key, n (code points as written), best and group_size of every row."""
+    text = F.col("text")
+    entries = stored(texts_of(docs).select("doc_id", *key_of(text), F.length(text).alias("n")), "digests")
+    found = stored(keepers(entries, runs), "keepers")
+    return hot_join(entries, found, KEY, "group_size", entries.count())
+
+
+def stays() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n") == -F.col("best.fewer"))
+
+
 def groups(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the text without blanks).
 
@@ -48,22 +62,21 @@ def groups(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     count as empty, and empty texts equal each other. Rows repeated under one doc_id are counted each; all
     of them show kept, and `deduplicated` leaves one. Other columns play no part; an empty frame gives no rows.
     """
-    text = F.col("text")
-    entries = stored(texts_of(docs).select("doc_id", *key_of(text), F.length(text).alias("n")), "digests")
-    found = keepers(entries, runs)
-    joined = entries.join(found, KEY, "left")
-    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n") == -F.col("best.fewer"))).alias("kept"), "text_sha256")
+    return decided(docs, runs).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", stays().alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, runs: int = RUNS) -> DataFrame:
-    """The rows of docs that stay, all their columns, whatever these are called."""
-    decided = stored(groups(docs, runs).filter("kept").groupBy(F.col("doc_id").alias("tq_id"), F.col("text_sha256").alias("tq_sha")).agg(F.count("*").alias("tq_rows")), "kept")
+    """The rows of docs that stay, one of each group of equal texts, with all their columns, whatever these are called. Of rows that share doc_id and length the one with the least text stays; of rows equal in that as well, any one."""
+    key = F.struct(F.col("doc_id").isNull().alias("bare"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *KEY, "n")
+    left = stored(decided(docs, runs).filter(stays()).groupBy(key.alias("key")).agg(F.count("*").alias("rows")), "left")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("tq_own", F.sha2(normalised(text), 256)).withColumn("tq_len", F.length(text))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("tq_id")) & (F.col("tq_own") == F.col("tq_sha"))
-    out = marked.join(decided.filter("tq_rows = 1"), on, "left_semi")
-    if not decided.filter("tq_rows > 1").isEmpty():
-        again = marked.join(decided.filter("tq_rows > 1"), on, "left_semi")
-        again = again.withColumn("tq_rank", F.expr("row_number() over (partition by doc_id, tq_own order by tq_len desc, text)")).filter("tq_rank = 1").drop("tq_rank")
-        out = out.unionByName(again)
-    return out.drop("tq_own", "tq_len")
+    doc_id = F.col("doc_id").cast("long")
+    own = F.struct(doc_id.isNull().alias("bare"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), *key_of(text), F.length(text).alias("n"))
+    rows = packed_rows(docs, own.alias("key"))
+    again = left.filter("rows > 1").select("key")
+    out = rows.join(left.filter("rows = 1").select("key"), "key", "left_semi")
+    if not again.isEmpty():
+        ties = stored(rows.join(again, "key", "left_semi").withColumn("uid", F.monotonically_increasing_id()), "ties")
+        least = ties.groupBy("key").agg(F.min(F.struct(F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"), "uid"))["uid"].alias("uid")).select("uid")
+        out = out.unionByName(ties.join(least, "uid", "left_semi").drop("uid"))
+    return unpacked(out, docs)

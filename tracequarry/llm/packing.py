@@ -110,18 +110,33 @@ def pack(found: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFram
     found = stored(found, "pieces")
     groups = max(1, -(-found.count() // group))
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        at = best_fit(pdf["length"].tolist(), window)
-        pdf["sequence_id"] = [w * groups + int(key[0]) for w, _ in at]
-        pdf["offset"] = [o for _, o in at]
-        return pdf.drop(columns=["packing_group"])
-
-    dealt = found.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    def run(key, part):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        by = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("doc_tokens", "ascending"), ("ids_crc32", "ascending")]
+        part = part.drop_columns(["packing_group"])
+        part = part.take(pc.sort_indices(part, sort_keys=[x for x in by if x[0] in part.column_names]))
+        at = best_fit(part["length"].to_pylist(), window)
+        part = part.append_column("sequence_id", pa.array([w * groups + key[0].as_py() for w, _ in at], pa.int64()))
+        return part.append_column("offset", pa.array([o for _, o in at], pa.int64()))
+
+    # The row's place in the stored table keeps repeated rows, or many without a doc_id, from meeting in one group.
+    dealt = found.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("packing_group").applyInPandas(run, schema)
+    return dealt.groupBy("packing_group").applyInArrow(run, schema)
+
+
+def padding(found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """sequence_id, filled and padded tokens of packed pieces: a sequence is padded to the window unless its length is a power of two."""
+    own = found.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
+    return own.withColumn("padded", F.when(F.bit_count("filled") == 1, F.lit(0).cast("long")).otherwise(window - F.col("filled")))
 
 
 def packed(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID, window: int = WINDOW, group: int = GROUP, ids: bool = False) -> DataFrame:
-    """Documents to packed pieces; ids=True keeps each piece's ids in the result."""
+    """Documents to packed pieces; ids=True keeps each piece's ids in the result.
+
+    Null texts count as empty: one piece that holds the end id. Rows with a null doc_id and repeated rows are documents of their own. Other columns play
+    no part; an empty frame gives no rows. A sequence is padded to the window, except where its length is a power of two (`padding`).
+    """
     return pack(pieces(docs, tokenizer_path or word_bpe.default_path(), end_id, window, ids), window, group)

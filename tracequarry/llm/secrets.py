@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored, texts_of
+from .common import packed_rows, scratch_path, stored, texts_of, unpacked
 
 MASK = "[secret]"
 
@@ -113,19 +113,18 @@ def report(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, ledger: Ledger | None = None, mask: str = MASK) -> DataFrame:
-    """docs with every finding replaced by a mask, overlapping ones by one; n_chars, where there is one, follows. Clean rows stay as they are."""
+    """docs with every finding replaced by a mask, overlapping ones by one; n_chars, where there is one, follows. Clean rows stay as they are; columns may have any names."""
     ledger = ledger or Ledger(docs.sparkSession, scratch_path(docs.sparkSession, "ledger"))
     ledger.scan(docs)
-    found = ledger.by_blob().select(F.col("blob").alias("tq_blob"), F.col("spans").alias("tq_spans"))
-    marked = docs.withColumn("tq_own", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    joined = marked.join(found, F.col("tq_own") == F.col("tq_blob"), "left")
+    text = F.col("row.text").cast("string")
+    rows = packed_rows(docs, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("blob"))
+    joined = rows.join(ledger.by_blob(), "blob", "left").withColumn("own", text)
     merged = F.expr(f"""
-        aggregate(tq_spans, named_struct('at', 0L, 'out', ''),
+        aggregate(spans, named_struct('at', 0L, 'out', ''),
           (a, x) -> CASE WHEN x.start >= a.at
-            THEN named_struct('at', x.end, 'out', concat(a.out, substring(text, int(a.at) + 1, int(x.start - a.at)), '{mask}'))
+            THEN named_struct('at', x.end, 'out', concat(a.out, substring(own, int(a.at) + 1, int(x.start - a.at)), '{mask}'))
             ELSE named_struct('at', greatest(a.at, x.end), 'out', a.out) END,
-          a -> concat(a.out, substring(text, int(a.at) + 1)))""")
-    new = joined.withColumn("text", F.when(F.col("tq_spans").isNull(), F.col("text")).otherwise(merged))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("tq_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return new.select(*[F.col(f"`{c}`") for c in docs.columns])
+          a -> concat(a.out, substring(own, int(a.at) + 1)))""")
+    new = joined.withColumn("new", F.when(F.col("spans").isNull(), text).otherwise(merged))
+    count = {"n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("new"))} if "n_chars" in docs.columns else {}
+    return unpacked(new, docs, text=F.col("new"), **count)

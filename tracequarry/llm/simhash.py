@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, stored, texts_of
+from .common import components, hot_join, one_of_equal, packed_rows, row_key, small_batches, stored, texts_of, unpacked
 
 BITS, RADIUS, SHINGLE, CROWD = 64, 2, 3, 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -47,7 +47,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every whole text."""
+    """doc_id, h and g (two hashes of the text), fp (the 64 bits as a signed long) of every whole text."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -55,9 +55,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         for b in batches:
             own = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(own, "u8").view("i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(np.array(own, "u8").view("i8"))], ["doc_id", "h", "g", "fp"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, fp long")
+    key = row_key(F.col("doc_id"), F.col("text"))
+    return texts_of(docs).select("doc_id", "text", key["h"].alias("h"), key["g"].alias("g")).mapInArrow(run, "doc_id long, h long, g long, fp long")
 
 
 def bit_counts(distinct: DataFrame) -> np.ndarray:
@@ -180,23 +181,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> Data
     return paired.unionByName(starred).distinct()
 
 
+def labelled(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
+    """doc_id, h, g, fp and component (its number), component_id, first (the row that stands for it) of every row."""
+    prints = stored(fingerprints(docs, shingle), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h", "g")
+    distinct = stored(prints.groupBy("fp").agg(F.min(order).alias("low"), F.count("*").alias("n")), "distinct")
+    found = components(links(distinct.select("fp"), radius, crowd))
+    own = stored(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component")), "labelled")
+    least = own.groupBy("component").agg(F.min("low").alias("first"), F.count("*").alias("prints"))
+    ids = hot_join(own, stored(least, "components"), ["component"], "prints", own.count()).select("fp", "n", "component", "first")
+    return hot_join(prints, stored(ids, "ids"), ["fp"], "n", prints.count()).withColumn("component_id", F.col("first.doc_id"))
+
+
 def clusters(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id (the smallest doc_id that links reach).
 
     Texts without words, null ones too, have fingerprint 0 and link like any other. A null doc_id is never a component_id unless the
     whole component has no other. Repeated rows share their component. Other columns play no part; an empty frame gives no rows.
     """
-    prints = stored(fingerprints(docs, shingle), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    found = components(links(distinct.select("fp"), radius, crowd))
-    labelled = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = labelled.join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    return labelled(docs, radius, shingle, crowd).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
-    """The rows of docs, all their columns, of one document of each component: that with the smallest doc_id. Rows with a null doc_id stay only where their component has no other."""
-    own = clusters(docs, radius, shingle, crowd)
-    dropped = own.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("tq_id")).distinct()
-    return docs.join(stored(dropped, "dropped"), F.col("doc_id").cast("long").eqNullSafe(F.col("tq_id")), "left_anti")
+    """The rows of docs, all their columns, of one document of each component: that with the smallest doc_id (null last), of several under that id the one whose text has the least hash, of rows equal in both any one. Columns may have any names."""
+    own = labelled(docs, radius, shingle, crowd)
+    key = F.struct(F.col("doc_id").isNull().alias("bare"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "h", "g").alias("key")
+    own = own.select(key, (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("g") == F.col("first.g"))).alias("stays"))
+    own = stored(own.groupBy("key", "stays").agg(F.count("*").alias("rows")).filter("not stays or rows > 1"), "dropped")
+    rows = packed_rows(docs, row_key(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    rows = rows.join(own.filter("not stays").select("key"), "key", "left_anti")
+    return unpacked(one_of_equal(rows, "key", own.filter("stays").select("key")), docs)

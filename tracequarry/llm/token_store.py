@@ -1,12 +1,12 @@
 """Token-id shards with keyed access by a minimal perfect hash.
 
-Documents are range-partitioned and sorted by doc_id, so shard after shard holds them in ascending
-order. Each task writes one payload file of raw ids (unsigned 16-bit where the vocabulary allows,
+Documents are range-partitioned and sorted by doc_id, then by two hashes of the text, so shard after shard holds them in ascending
+order; an id that many rows share may go on over several shards. Each task writes one payload file of raw ids (unsigned 16-bit where the vocabulary allows,
 else 32-bit, little-endian) and one index file. The index is a minimal perfect hash from document
 keys to slots: levels of bit arrays in which a key's bit is set if no other key meets it there, the
 slot being the bit's rank. A slot holds a fingerprint of the key and where its records are, so a
 lookup is a few hashes, one comparison and one read, whatever the shard's size.
-Files are written under a name of their own and moved when whole: a task that runs again or twice
+Files are written under a name of their own and moved when whole. As ties are ordered, a task that runs again or twice
 leaves the same bytes. They go through pyarrow's file systems, so the folder can be in any store that these reach.
 """
 
@@ -26,6 +26,8 @@ from .common import scratch_path, small_batches, texts_of
 
 MAGIC = b"TQIDX002"
 SHARDS = "shard long, records long, ids long, unkeyed long, low long, high long"
+#: Stretches of a shard's keys that are read by a task each, and bytes that one read asks for.
+BLOCKS, READ = 8, 8 << 20
 SALT = 0x9E3779B97F4A7C15
 
 
@@ -163,6 +165,19 @@ class Shard:
         w = self.index.width
         return np.frombuffer(self.payload.read_at((b - a) * w, a * w), f"<u{w}").astype("<u4")
 
+    def each(self, records: list[int], most: int = READ):
+        """The ids of each of these records, which ascend; neighbours come by one read of up to `most` bytes."""
+        i, w = 0, self.index.width
+        while i < len(records):
+            a, j = int(self.index.offsets[records[i]]), i + 1
+            while j < len(records) and records[j] == records[j - 1] + 1 and (int(self.index.offsets[records[j] + 1]) - a) * w <= most:
+                j += 1
+            b = int(self.index.offsets[records[j - 1] + 1])
+            part = np.frombuffer(self.payload.read_at((b - a) * w, a * w), f"<u{w}")
+            for r in records[i:j]:
+                yield part[int(self.index.offsets[r]) - a : int(self.index.offsets[r + 1]) - a].astype("<u4")
+            i = j
+
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each document with this key."""
         return [self.record(r) for r in self.index.records(np.array([key], "i8"))[0]]
@@ -175,7 +190,7 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str | None = None, end_id:
     """Write every text's ids and end_id to shards below uri, in ascending doc_id order; returns the manifest, one row a shard with its global start.
 
     The number of shards, not of documents, bounds what the driver sees. Null texts count as empty; rows
-    with a null doc_id come first and have no key; repeated doc_ids are records side by side under one key.
+    with a null doc_id come first and have no key; repeated doc_ids are records side by side under one key, in the order of two hashes of their texts.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -209,7 +224,8 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str | None = None, end_id:
             row = [shard, len(ends) - 1, ends[-1], unkeyed, keys[0] if keys else None, keys[-1] if keys else None]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], ["shard", "records", "ids", "unkeyed", "low", "high"])
 
-    ordered = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ties = ["doc_id", "h", "g"]
+    ordered = texts_of(docs).select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g")).repartitionByRange(*ties).sortWithinPartitions(*ties).select("doc_id", "text")
     start, rows = 0, []
     for r in sorted(ordered.mapInArrow(run, SHARDS).collect()):
         rows.append((*r, start))
@@ -224,18 +240,23 @@ def read(keys: DataFrame, manifest: DataFrame, uri: str, with_ids: bool = True)
     """
     spark = keys.sparkSession
     rows = manifest.orderBy("shard").collect()  # one row a shard
-    bounds = [(r["shard"], r["low"], r["high"], r["start"]) for r in rows if r["low"] is not None]
+    bounds = [(r["shard"], r["low"], r["high"]) for r in rows if r["low"] is not None]
     bare = [(r["shard"], r["start"]) for r in rows if r["unkeyed"]]
     starts = {r["shard"]: r["start"] for r in rows}
-    lows, shards = np.array([x[1] for x in bounds], "i8"), [x[0] for x in bounds]
+    shards, lows, highs = (np.array([x[i] for x in bounds], "i8") for i in range(3))
 
     def route(batches):
+        """Each key to every shard between whose least and greatest key it is, and there to one of BLOCKS equal stretches of keys."""
         import pyarrow as pa
 
         for b in batches:
-            own = b.column(0).to_pylist()
-            at = np.searchsorted(lows, np.array([x or 0 for x in own], "i8"), "right") - 1
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None or k < 0 else shards[k] for x, k in zip(own, at)], pa.int64())], ["doc_id", "shard"])
+            own = b.column(0).to_numpy()
+            first, last = np.searchsorted(highs, own, "left"), np.searchsorted(lows, own, "right")
+            n = np.maximum(last - first, 0)
+            at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = np.repeat(own, n)
+            block = (own.astype("f8") - lows[at]) / (highs[at].astype("f8") - lows[at] + 1) * BLOCKS if len(at) else own
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(shards[at]), pa.array(np.clip(block, 0, BLOCKS - 1).astype("i4"))], ["doc_id", "shard", "block"])
 
     def look(key, pdf):
         import pandas as pd
@@ -245,27 +266,27 @@ def read(keys: DataFrame, manifest: DataFrame, uri: str, with_ids: bool = True)
             own = pdf["doc_id"].to_numpy("i8", na_value=0)
             bare_only = pdf["bare"].any()
             found = [(None, range(shard.index.unkeyed))] if bare_only else list(zip(own.tolist(), shard.index.records(own)))
-            for doc, records in sorted(found, key=lambda x: x[1].start):
-                for r in records:
-                    ids = shard.record(r)
-                    out.append((doc, starts[int(key[0])] + int(shard.index.offsets[r]), len(ids), zlib.crc32(ids.tobytes()), *([ids.astype("i8")] if with_ids else [])))
+            wanted = [(doc, r) for doc, records in sorted(found, key=lambda x: x[1].start) for r in records]
+            for (doc, r), ids in zip(wanted, shard.each([r for _, r in wanted])):
+                out.append((doc, starts[int(key[0])] + int(shard.index.offsets[r]), len(ids), zlib.crc32(ids.tobytes()), *([ids.astype("i8")] if with_ids else [])))
         finally:
             shard.close()
         frame = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
-        return frame.astype({"doc_id": "Int64"})
+        return frame.assign(doc_id=pd.array([x[0] for x in out], "Int64"))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    keyed = keys.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().mapInArrow(route, "doc_id long, shard long")
-    asked = keyed.filter("shard is not null").withColumn("bare", F.lit(False))
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().mapInArrow(route, "doc_id long, shard long, block int").withColumn("bare", F.lit(False))
     if bare:
-        asked = asked.unionByName(spark.createDataFrame([(None, s, True) for s, _ in bare], "doc_id long, shard long, bare boolean"))
+        asked = asked.unionByName(spark.createDataFrame([(None, s, 0, True) for s, _ in bare], "doc_id long, shard long, block int, bare boolean"))
     # A block of a shard's keys is a task's work, so a large shard is read by several tasks.
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    return blocks.groupBy("shard", "bare", "block").applyInPandas(look, schema)
+    return asked.groupBy("shard", "bare", "block").applyInPandas(look, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, uri: str | None = None) -> DataFrame:
-    """Write docs to shards, then read every document back by its key."""
+    """Write docs to shards, then read every document back by its key: doc_id, start, n_tokens, ids_crc32 of every row.
+
+    Null texts count as empty, so they hold the end id alone; rows without a doc_id and repeated rows have a record each (`write`). Other columns play no part; an empty frame gives no rows.
+    """
     spark = docs.sparkSession
     uri = uri or scratch_path(spark, "ids")
     manifest = write(docs, uri, tokenizer_path, end_id)
