@@ -13,7 +13,8 @@ number) equals it or, for lines of at least `least` code points, is one insertio
 4. In the blocks left, each line emits every deletion variant as a hashed key. Lines of one length that give the
    same variant at the same place are a substitution apart; a line that equals a longer line's variant, an insertion. So a
    group needs only its earliest line, whatever its size: no pairs are made within a group.
-5. Each later line is verified against that earliest one by its edit distance.
+5. Each later line is verified against that earliest one: both whole lines, without the character at the place of the
+   variant, are compared, which takes time in proportion to their length.
 
 Group minima combine before their exchange; joins on a frequent key are left to adaptive skew splitting.
 """
@@ -60,19 +61,19 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def narrowed(rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """Rows (id, check, place, longer, key, inner) to one row a block of inner: key takes in what lies outside the block."""
+    """Rows (id, check, place, longer, at, key, inner) to one row a block of inner: key takes in what lies outside the block, at counts what lies before it in the line."""
     inner, n = F.col("inner"), F.length("inner")
     cut = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("m", n + F.col("longer"))
     edge = lambda b: F.floor(b * F.col("m").cast("long") / blocks).cast("int")
     cut = cut.withColumn("before", edge(F.col("b"))).withColumn("behind", F.col("m") - edge(F.col("b") + 1))
     key = F.xxhash64("key", "b", F.substring(inner, F.lit(1), F.col("before")), F.substring(inner, n - F.col("behind") + 1, F.col("behind")))
-    return cut.select(*LINE, "place", "longer", key.alias("key"), F.substring(inner, F.col("before") + 1, n - F.col("behind") - F.col("before")).alias("inner"))
+    return cut.select(*LINE, "place", "longer", (F.col("at") + F.col("before")).alias("at"), key.alias("key"), F.substring(inner, F.col("before") + 1, n - F.col("behind") - F.col("before")).alias("inner"))
 
 
 def leaves(texts: DataFrame) -> DataFrame:
-    """texts (id, check, place, line) to rows (id, check, place, longer, key, inner) of short blocks outside of which other lines may agree. longer: laid out for one character more."""
+    """texts (id, check, place, line) to rows (id, check, place, longer, at, key, inner) of short blocks outside of which other lines may agree. longer: laid out for one character more."""
     rows = texts.withColumn("longer", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = rows.select(*LINE, "place", "longer", F.xxhash64(F.length("line") + F.col("longer")).alias("key"), F.col("line").alias("inner"))
+    rows = rows.select(*LINE, "place", "longer", F.lit(0).alias("at"), F.xxhash64(F.length("line") + F.col("longer")).alias("key"), F.col("line").alias("inner"))
     size = F.length("inner") + F.col("longer")
     out, top = rows.filter(size <= LEAF), rows.agg(F.max(size)).first()[0] or 0
     while top > LEAF:
@@ -81,25 +82,30 @@ def leaves(texts: DataFrame) -> DataFrame:
     return out
 
 
+def without(line: Column, at: Column) -> Column:
+    """The line without its character at `at`, which counts from 1; 0 takes none."""
+    return F.when(at > 0, F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + 1, F.length(line)))).otherwise(line)
+
+
 def near(texts: DataFrame) -> DataFrame:
     """texts (id, check, place, line) of distinct lines to the (id, check) that have an earlier line within one edit."""
-    rows, inner, i = leaves(texts), F.col("inner"), F.col("i")
+    rows, i = leaves(texts), F.col("i")
     gone = rows.filter("longer = 0 and inner <> ''").withColumn("i", F.explode(F.sequence(F.lit(1), F.length("inner"))))
-    gone = gone.select(*LINE, "place", "key", "i", F.xxhash64(F.concat(F.substring(inner, F.lit(1), i - 1), F.substring(inner, i + 1, F.length("inner")))).alias("v"))
-    first = F.struct("place", *LINE)
-    other = [F.col(f"low.{c}").alias(f"other_{c}") for c in LINE]
-    swapped = gone.select(*LINE, "place", F.xxhash64("key", "v", "i").alias("k"))
+    gone = gone.select(*LINE, "place", "key", "i", (F.col("at") + i).alias("cut"), F.xxhash64(without(F.col("inner"), i)).alias("v"))
+    first = F.struct("place", *LINE, "cut")
+    other = [F.col(f"low.{c}").alias(f"other_{c}") for c in (*LINE, "cut")]
+    swapped = gone.select(*LINE, "place", "cut", F.xxhash64("key", "v", "i").alias("k"))
     low = swapped.groupBy("k").agg(F.min(first).alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = swapped.join(low, "k").filter(F.col("place") > F.col("low.place")).select(*LINE, *other)
-    whole = rows.filter("longer = 1").select(*LINE, "place", F.xxhash64("key", F.xxhash64("inner")).alias("k"), F.lit(1).alias("self"))
-    both = whole.unionByName(gone.select(*LINE, "place", F.xxhash64("key", "v").alias("k"), F.lit(0).alias("self")).distinct())
+    pairs = swapped.join(low, "k").filter(F.col("place") > F.col("low.place")).select(*LINE, "cut", *other)
+    whole = rows.filter("longer = 1").select(*LINE, "place", F.xxhash64("key", F.xxhash64("inner")).alias("k"), F.lit(1).alias("self"), F.lit(0).alias("cut"))
+    both = whole.unionByName(gone.groupBy(*LINE, "place", F.xxhash64("key", "v").alias("k")).agg(F.min("cut").alias("cut")).withColumn("self", F.lit(0)))
     least = lambda s: F.min(F.when(F.col("self") == s, first))
     ends = both.groupBy("k").agg(least(1).alias("short"), least(0).alias("long")).filter("short is not null and long is not null")
     met = both.join(ends, "k").withColumn("low", F.when(F.col("self") == 1, F.col("long")).otherwise(F.col("short")))
-    pairs = pairs.unionByName(met.filter(F.col("place") > F.col("low.place")).select(*LINE, *other)).distinct()
+    pairs = pairs.unionByName(met.filter(F.col("place") > F.col("low.place")).select(*LINE, "cut", *other)).distinct()
     a, b = texts.select(*LINE, F.col("line").alias("a")), texts.select(*[F.col(c).alias(f"other_{c}") for c in LINE], F.col("line").alias("b"))
     verified = pairs.join(a, LINE).join(b, [f"other_{c}" for c in LINE])
-    return verified.filter(F.levenshtein("a", "b", 1).between(0, 1)).select(*LINE).distinct()
+    return verified.filter(without(F.col("a"), F.col("cut")) == without(F.col("b"), F.col("other_cut"))).select(*LINE).distinct()
 
 
 def decisions(docs: DataFrame, least: int = LEAST, fuzzy: bool = True) -> DataFrame:
