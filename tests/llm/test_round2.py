@@ -162,3 +162,19 @@ def test_shared_folder_of_a_cluster(spark, monkeypatch):
         common.shared_dir(Session())
     Context.master = "local[2]"
     assert common.shared_dir(Session()) == common.shared_dir(Session())
+
+
+def test_toxicity_on_the_held_out_labels(spark):
+    """The driver's labels that no fit sees: ranking, recall and loss."""
+    from tracequarry.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter(toxicity.held_out(F.col("doc_id"))).filter("toxic in (0, 1)")
+    got = toxicity.scored(docs.join(held.select("doc_id"), "doc_id", "left_semi"), toxicity.trained(docs, labels)).join(held, "doc_id").collect()
+    bad, good = [r["score"] for r in got if r["toxic"] == 1], [r["score"] for r in got if r["toxic"] == 0]
+    assert len(bad) > 50 and len(good) > 500
+    auc = np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in good])
+    recall, loss = np.mean([x >= toxicity.THRESHOLD for x in bad]), np.mean([x >= toxicity.THRESHOLD for x in good])
+    print(f"held out: {len(bad)} toxic, {len(good)} ordinary, AUC {auc:.3f}, recall {recall:.3f}, loss {loss:.3f}, precision {recall * len(bad) / (recall * len(bad) + loss * len(good)):.3f}")
+    # 358 toxic documents to learn from: see README.md for a larger table.
+    assert auc >= 0.85 and recall >= 0.6 and loss <= 0.12

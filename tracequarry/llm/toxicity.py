@@ -1,6 +1,6 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled text: an ordinary one of the words that ordinary documents use
+Two zstandard dictionaries are built from labelled text, as raw content (README.md says how dictionaries trained by zstandard did worse): an ordinary one of the words that ordinary documents use
 most, and a toxic one that has in addition the words that toxic documents use in many more different
 contexts than ordinary ones would (a context is the pair of neighbours, so the words of a much
 copied document count once). Every window of a whole text is compressed with either; how many
@@ -12,7 +12,6 @@ Only the text is an input: no label, language, source or id.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -75,14 +74,27 @@ def words(text: str) -> list[bytes]:
     return [w.strip(EDGE) for w in text.lower().encode("utf-8", "surrogatepass").split()]
 
 
-def contexts(texts: list[str]) -> dict[bytes, int]:
-    """In how many different pairs of neighbours each word stands."""
-    seen: dict[bytes, set[int]] = defaultdict(set)
-    for t in texts:
-        own = [b"", *words(t), b""]
-        for a, w, b in zip(own, own[1:], own[2:]):
-            seen[w].add(hash((a, b)))
-    return {w: len(x) for w, x in seen.items()}
+class Coded:
+    """Texts as arrays of word numbers."""
+
+    def __init__(self, texts: list[str]):
+        known: dict[bytes, int] = {b"": 0}
+        self.texts = []
+        for t in texts:
+            self.texts.append(np.array([0, *[known.setdefault(w, len(known)) for w in words(t)], 0], "i4"))
+        self.words = list(known)
+
+    def contexts(self, chosen) -> np.ndarray:
+        """In how many different pairs of neighbours each word stands, over the chosen texts."""
+        own = [self.texts[i] for i in chosen]
+        if not own:
+            return np.zeros(len(self.words), "i8")
+        word = np.concatenate([x[1:-1] for x in own])
+        pair = np.concatenate([x[:-2].astype("i8") << 32 | x[2:] for x in own])
+        order = np.lexsort((pair, word))
+        word, pair = word[order], pair[order]
+        new = np.r_[True, (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])] if len(word) else np.zeros(0, bool)
+        return np.bincount(word[new], minlength=len(self.words))
 
 
 def content(chosen: list[bytes], size: int) -> bytes:
@@ -96,18 +108,15 @@ def content(chosen: list[bytes], size: int) -> bytes:
     return b" " + b" ".join(out[::-1]) + b" " if out else b""
 
 
-def dictionaries(toxic_texts: list[str], plain_texts: list[str]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary; the latter is empty where nothing marks toxic text."""
-    toxic, plain = contexts(toxic_texts), contexts(plain_texts)
-    ratio = max(1, sum(toxic.values())) / max(1, sum(plain.values()))
-    marked = []
-    for w, t in toxic.items():
-        expected = (plain.get(w, 0) + 0.5) * ratio
-        z = (t - expected) / (expected + 0.5) ** 0.5
-        if t >= 3 and t >= 4 * expected and z >= 5 and 3 <= len(w) <= 40:
-            marked.append((z, w))
-    base = content(sorted((w for w in plain if 3 <= len(w) <= 40), key=lambda w: (-plain[w], w)), BASE)
-    extra = content([w for _, w in sorted(marked, reverse=True)], EXTRA)
+def dictionaries(coded: Coded, toxic_texts, plain_texts) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of texts given by their numbers; the latter is empty where nothing marks toxic text."""
+    toxic, plain = coded.contexts(toxic_texts), coded.contexts(plain_texts)
+    fit = np.array([3 <= len(w) <= 40 for w in coded.words])
+    expected = (plain + 0.5) * (max(1, toxic.sum()) / max(1, plain.sum()))
+    z = (toxic - expected) / (expected + 0.5) ** 0.5
+    marked = np.flatnonzero(fit & (toxic >= 3) & (toxic >= 4 * expected) & (z >= 5))
+    base = content([coded.words[i] for i in sorted(np.flatnonzero(fit & (plain > 0)).tolist(), key=lambda i: (-plain[i], coded.words[i]))], BASE)
+    extra = content([coded.words[i] for i in sorted(marked.tolist(), key=lambda i: (z[i], coded.words[i]), reverse=True)], EXTRA)
     # The filler keeps the ordinary words at the same distance in both.
     return base + b"\xff" * len(extra), (base + extra if extra else b"")
 
@@ -116,16 +125,16 @@ def fit(sample: list[tuple[str, int]], folds: int = 3) -> Model:
     """A model of (text, label) pairs. Each fold is measured with the dictionaries of the others, so the weights rest on unseen text. Without both labels, or without a mark of toxic text, the score is constant: their share."""
     share = (sum(y for _, y in sample) + 0.5) / (len(sample) + 1)
     constant = Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * 9))
-    texts = {label: [t for t, own in sample if own == label] for label in (0, 1)}
-    if not texts[0] or not texts[1]:
+    of = {label: [i for i, (_, own) in enumerate(sample) if own == label] for label in (0, 1)}
+    if not of[0] or not of[1]:
         return constant
-    x, y = [], []
+    coded, x, y = Coded([t for t, _ in sample]), [], []
     for f in range(folds):
-        part = Model(*dictionaries(*([t for i, t in enumerate(texts[label]) if i % folds != f] for label in (1, 0))), constant.weights)
-        held = [(t, label) for label in (0, 1) for i, t in enumerate(texts[label]) if i % folds == f]
-        x += [part.features(t) for t, _ in held]
+        part = Model(*dictionaries(coded, *([k for i, k in enumerate(of[label]) if i % folds != f] for label in (1, 0))), constant.weights)
+        held = [(k, label) for label in (0, 1) for i, k in enumerate(of[label]) if i % folds == f]
+        x += [part.features(sample[k][0]) for k, _ in held]
         y += [label for _, label in held]
-    whole = dictionaries(texts[1], texts[0])
+    whole = dictionaries(coded, of[1], of[0])
     return Model(*whole, tuple(map(float, logistic(np.array(x), np.array(y))))) if whole[1] else constant
 
 
@@ -151,7 +160,7 @@ def trained(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: in
     rows = texts_of(docs).join(F.broadcast(ids), "doc_id").select("h", "doc_id", "text", "y")
     sample, size = [], 0
     for r in rows.orderBy("h", "doc_id", "text").toLocalIterator():
-        size += len(r["text"])
+        size += len(r["text"].encode("utf-8", "surrogatepass"))
         if size > most_bytes:
             break
         sample.append((r["text"], r["y"]))
