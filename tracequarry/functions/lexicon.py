@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import LEFT, RIGHT, either, matches, whole
 
+# The words of each rank, and those of the other lists, up to FAMILY.
 CERTAINTY = {
     0: "uncertain unconfirmed preliminary pending may might could possibly possible appears suggests estimated approximately".split(),
     1: "likely indicates supports expected".split(),
@@ -15,7 +16,7 @@ CERTAINTY = {
 }
 SCOPE = {0: ["a few", "few", "some"], 1: ["several"], 2: ["many"], 3: ["most"], 4: ["all", "every", "always", "none", "never"]}
 #: Weak words and "likely", not the other words of rank 1.
-HEDGES = [*CERTAINTY[0], "likely"]
+HEDGES = "uncertain unconfirmed preliminary pending may might could possibly possible appears suggests estimated approximately likely".split()
 CONTRASTS = "and but however although yet nevertheless whereas while".split()
 #: The order decides which of two forms that start together is taken.
 NEGATIONS = ["not", "no", "never", "without", "cannot", "can't", "won't", "isn't", "aren't", "doesn't", "don't", "didn't", "must not", "do not"]
@@ -24,9 +25,8 @@ RESTRICTIONS = ["do not", "don't", "must not", "never", "draft only", "human app
 STOP_WORDS = "a an and are as at be before by for from in is it of on or that the this to with".split()
 FAMILY = {"number": "evidence", "certainty": "meaning", "quantifier": "meaning", "negation": "meaning", "guardrail": "authority", "coverage": "meaning", "custom": "meaning"}
 SEVERITY = {"clean": 0, "low": 1, "medium": 2, "high": 3}
-#: A word that is no conjunction; up to three of them. Written out, as look-behinds take no repeated groups.
-WORD = r"(?!\W{0,3}(?:and|but|however)" + RIGHT + r")[^ .!?;,:]{1,40}"
-FEW_WORDS = f"[ ]?(?:|{WORD}|{WORD}[ ]{WORD}|{WORD}[ ]{WORD}[ ]{WORD})[ ]?"
+#: So many characters before an action are looked at for a negation, which reaches over so many words.
+BEFORE, REACH = 80, 3
 
 
 def denied(before: Column) -> Column:
@@ -69,10 +69,24 @@ def negations(normal: Column) -> Column:
 
 
 def completed_actions(normal: Column) -> Column:
-    """Past-tense actions that no negation up to three words before denies."""
-    verb = whole(either(ACTIONS))
-    plain = f"{verb}(?<!{whole(either(NEGATIONS))}{FEW_WORDS}(?:{either(ACTIONS)}))"
-    return F.array_distinct(F.when(normal.rlike(verb), matches(normal, plain)).otherwise(F.array().cast("array<string>")))
+    """Past-tense actions that no negation among the 80 characters before denies: the last one does, unless a mark, a contrast or more than three words stand between."""
+    verb, negation = whole(either(ACTIONS)), whole(either(NEGATIONS))
+    nothing = F.array().cast("array<string>")
+    texts = F.transform(F.regexp_extract_all(normal, F.lit(verb), F.lit(0)), lambda x, i: F.struct(F.get(F.split(normal, verb, -1), i).alias("gap"), x.alias("action")))
+
+    def asserted_after(before: Column) -> Column:
+        between = F.regexp_extract(before, f"(?s)^.*{negation}(.*)$", 1)
+        words = F.size(F.filter(F.split(between, r"\s+"), lambda w: w != ""))
+        return ~before.rlike(negation) | between.rlike(r"[.!?;,:]|" + whole("and|but|however")) | (words > REACH)
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["gap"])
+        first = F.greatest(start - BEFORE, F.lit(0))
+        keep = asserted_after(F.substring(normal, first + 1, start - first))
+        return F.struct((start + F.length(x["action"])).alias("at"), F.when(keep, F.concat(state["kept"], F.array(x["action"]))).otherwise(state["kept"]).alias("kept"))
+
+    walked = F.aggregate(texts, F.struct(F.lit(0).alias("at"), nothing.alias("kept")), step, lambda state: state["kept"])
+    return F.when(normal.rlike(verb), F.array_distinct(F.when(normal.rlike(negation), walked).otherwise(matches(normal, verb)))).otherwise(nothing)
 
 
 def restricts(normal: Column) -> Column:

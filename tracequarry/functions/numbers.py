@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import BLANK, LEFT, RIGHT, either, matches, normalised, whole
 
+# Names of months, nouns and units that go with a number, number words and factors of metric units.
 MONTHS = "january february march april may june july august september october november december".split()
 SHORT = ["jan", "feb", "mar", "apr", "jun", "jul", "aug", "sept", "sep", "oct", "nov", "dec"]
 MONTH = either([*MONTHS, *SHORT])
@@ -16,7 +17,7 @@ GAP = f"(?:,{BLANK}*|{BLANK}+)"
 MONTH_FIRST = f"(?i){LEFT}({MONTH})\\.?{BLANK}+({DAY})(?:st|nd|rd|th)?{GAP}([0-9]{{4}}){RIGHT}"
 DAY_FIRST = f"(?i){LEFT}({DAY})(?:st|nd|rd|th)?{BLANK}+({MONTH})\\.?{GAP}([0-9]{{4}}){RIGHT}"
 NOUNS = "second minute hour day week month year user customer case degree".split()
-NOUN = either([f"{n}s?" for n in NOUNS[:7]] + ["people"] + [f"{n}s?" for n in NOUNS[7:]])
+NOUN = "seconds?|minutes?|hours?|days?|weeks?|months?|years?|people|users?|customers?|cases?|degrees?"
 UNIT = (
     "%|percent|percentage points?|milligrams?|kilograms?|grams?|milliliters?|millilitres?|liters?|litres?|kilometers?|kilometres?"
     "|centimeters?|centimetres?|millimeters?|millimetres?|meters?|metres?|mg|kg|km|ml|cl|cm|mm|g|l|k|m|b|thousand|million|billion|" + NOUN

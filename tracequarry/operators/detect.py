@@ -145,11 +145,12 @@ def guard_of(guardrail: Column) -> Column:
 SIDE = ["id", "label", "text", "normal", "sig"]
 
 
-def chain_edges(stages: DataFrame) -> DataFrame:
+def chain_edges(stages: DataFrame, kinds=None) -> DataFrame:
     """Edges of chains: stages (run_id, stage_index, id, label, text, guardrail) next to each other. One exchange, on run_id."""
     order = Window.partitionBy("run_id").orderBy("stage_index")
     run = Window.partitionBy("run_id")
-    own = with_signals(stages.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("unc", uncovered(F.col("text"))).withColumn("c", F.struct(*SIDE))
+    unc = uncovered(F.col("text")) if kinds is None or "coverage" in kinds else F.lit(False)
+    own = with_signals(stages.withColumn("text", F.coalesce("text", F.lit(""))), kinds=kinds).withColumn("unc", unc).withColumn("c", F.struct(*SIDE))
     own = own.withColumn("p", F.lag("c").over(order))
     marked = F.when(F.col("unc"), F.struct("stage_index", "label"))
     own = own.withColumn("unc_stages", F.array_sort(F.collect_list(marked).over(run)))
@@ -157,28 +158,30 @@ def chain_edges(stages: DataFrame) -> DataFrame:
     return edges.withColumn("coverage_labels", F.when((F.size("unc_stages") > 0) & (F.col("edge_index") == F.greatest(F.lit(0), F.get("unc_stages", F.lit(0))["stage_index"] - 1)), F.transform("unc_stages", lambda x: x["label"]))).select("run_id", "edge_index", "p", "c", "guardrail", "coverage_labels")
 
 
-def edge_issues(edges: DataFrame, rules=(), built_in: bool = True, scan: str = "run", judge: DataFrame | None = None) -> DataFrame:
-    """Issues of edges, one row each, in the columns ISSUES.
+def edge_issues(edges: DataFrame, rules=(), built_in: bool = True, scan: str = "run", judge: DataFrame | None = None, kinds=None) -> DataFrame:
+    """Issues of edges, one row each, in the columns ISSUES; of certain kinds only where these are named, so that nothing else is worked out.
 
     scan="run" reports only a run's first guardrail breach, whatever hides behind it; scan="edge" reports each. Without built_in
     only missing content and rules are reported. judge: findings (run_id, edge_index, severity, title, explanation) made elsewhere.
     """
     p, c = F.col("p"), F.col("c")
     rules = checked_rules(rules)
-    if built_in:
+    speaks = lambda kind: built_in and (kinds is None or kind in kinds)
+    if speaks("guardrail"):
         edges = with_kept(edges).withColumn("breach", guardrail_breach(p, c, F.col("guard"), F.col("kept_before"), F.col("kept")))
         if scan == "run":
             first = F.min(F.when(F.col("breach").isNotNull(), F.col("edge_index"))).over(Window.partitionBy("run_id"))
             edges = edges.withColumn("breach", F.when(F.col("edge_index") == first, F.col("breach")))
     gone = missing_content(p, c)
-    usual = [number_drift(p, c), certainty_drift(p, c), scope_drift(p, c), negation_loss(p, c)] if built_in else []
+    usual = [f(p, c) for kind, f in (("number", number_drift), ("certainty", certainty_drift), ("quantifier", scope_drift), ("negation", negation_loss)) if speaks(kind)]
     for i, r in enumerate(rules):
         usual.append(F.when(r.when(p, c, F.col("guardrail")), issue(4 + i, "custom", r.severity, r.title, r.explanation, family=r.family, rule=f"{r.id}-{r.finding}")))
     kind = "array<struct<" + ",".join(":".join(x.split(" ", 1)) for x in ISSUE_FIELDS.split(", ")) + ">>"
     present = F.array(*usual).cast(kind) if usual else F.array().cast(kind)
     found = F.when(gone.isNotNull(), F.array(gone).cast(kind)).otherwise(present)
-    if built_in:
-        found = F.concat(found, F.array(F.col("breach"), F.when(F.col("coverage_labels").isNotNull(), coverage_issue(F.col("coverage_labels")))).cast(kind))
+    last = ([F.col("breach")] if speaks("guardrail") else []) + ([F.when(F.col("coverage_labels").isNotNull(), coverage_issue(F.col("coverage_labels")))] if speaks("coverage") else [])
+    if last:
+        found = F.concat(found, F.array(*last).cast(kind))
     rows = edges.select("run_id", "edge_index", p["label"].alias("from_label"), c["label"].alias("to_label"), flat(p["text"]).alias("pt"), flat(c["text"]).alias("ct"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
     rows = rows.select("run_id", "edge_index", "from_label", "to_label", "pt", "ct", "x.*")
     if judge is not None:
@@ -192,9 +195,12 @@ def edge_issues(edges: DataFrame, rules=(), built_in: bool = True, scan: str = "
     )
 
 
-def analyse(stages: DataFrame, rules=(), built_in: bool = True, judge: DataFrame | None = None) -> DataFrame:
-    """Issues of whole chains."""
-    return edge_issues(chain_edges(stages), rules, built_in, "run", judge)
+def analyse(stages: DataFrame, rules=(), built_in: bool = True, judge: DataFrame | None = None, kinds=None) -> DataFrame:
+    """Issues of whole chains. kinds: only findings of these types are worked out, besides those of rules and judge; null for all."""
+    if kinds is not None and (unknown := set(kinds) - set(lexicon.FAMILY)):
+        raise ValueError(f"no such kinds: {sorted(unknown)}")
+    found = edge_issues(chain_edges(stages, kinds), rules, built_in, "run", judge, kinds)
+    return found if kinds is None or "coverage" in kinds else found.filter("type <> 'coverage'")
 
 
 def in_order(issues: DataFrame) -> DataFrame:

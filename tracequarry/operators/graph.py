@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprint import GRAPH, json_string, long_id, short_id
 from ..functions.text import trimmed, uri_component, utf16_length
+from ..session import stored
 from .detect import SIDE, edge_issues, rank_of, uncovered
 from .rollup import threshold_rank
 from .signals import with_signals
@@ -57,11 +58,7 @@ def shaped(nodes: DataFrame) -> DataFrame:
     own = complete(nodes).select("run_id", "node_pos", "id", "parent_ids")
     kind = own.schema["run_id"].dataType.simpleString()
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("node_pos", kind="stable")
-        ids, parents = pdf["id"].tolist(), {i: list(p) for i, p in zip(pdf["id"], pdf["parent_ids"])}
+    def walk(ids, parents):
         children = {i: [] for i in ids}
         for i in ids:
             for p in parents[i]:
@@ -79,15 +76,38 @@ def shaped(nodes: DataFrame) -> DataFrame:
         below = []
         for i in ids:
             seen = {i: None}
-            for x in (walk := [i]):
+            for x in (found := [i]):
                 for c in children[x]:
                     if c not in seen:
                         seen[c] = None
-                        walk.append(c)
-            below.append(walk)
-        return pd.DataFrame({"run_id": pdf["run_id"].tolist(), "node_pos": pdf["node_pos"].tolist(), "id": ids, "topo_index": pd.array([place.get(i) for i in ids], "Int32"), "depth": pd.array([depth.get(i) for i in ids], "Int32"), "below": below})
+                        found.append(c)
+            below.append(found)
+        return [place.get(i) for i in ids], [depth.get(i) for i in ids], below
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = {}  # rows of one run: the last may go on in the next batch
 
-    return own.groupBy("run_id").applyInPandas(run, f"run_id {kind}, {SHAPE}")
+        def flush(done):
+            out = [[], [], [], [], [], []]
+            for run_id in done:
+                own = held.pop(run_id)
+                pos, ids, parents = zip(*own)
+                for x, v in zip(out, ([run_id] * len(ids), pos, ids, *walk(list(ids), dict(zip(ids, parents))))):
+                    x.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (key, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())))], ["run_id", "node_pos", "id", "topo_index", "depth", "below"])
+
+        key = None
+        for batch in batches:
+            key = batch.schema.field(0).type
+            for run_id, *own in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(run_id, []).append(own)
+            yield from flush(list(held)[:-1])
+        if held:
+            yield from flush(list(held))
+
+    return own.repartition("run_id").sortWithinPartitions("run_id", "node_pos").mapInArrow(run, f"run_id {kind}, {SHAPE}")
 
 
 def cycles(nodes: DataFrame) -> DataFrame:
@@ -98,9 +118,9 @@ def descendants(nodes: DataFrame) -> DataFrame:
     return shaped(nodes).select("run_id", "id", F.explode("below").alias("descendant"))
 
 
-def graph_edges(nodes: DataFrame) -> DataFrame:
+def graph_edges(nodes: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """Edges in topological order of the child, then order of its parents; a parent's signals are computed once, however many children it has."""
-    own = complete(nodes).join(shaped(nodes).select("run_id", "node_pos", "topo_index"), ["run_id", "node_pos"])
+    own = complete(nodes).join((shaped(nodes) if shape is None else shape).select("run_id", "node_pos", "topo_index"), ["run_id", "node_pos"])
     parents = with_signals(own.select("run_id", "id", "label", "text")).select("run_id", F.col("id").alias("parent"), F.struct(*SIDE).alias("p"), uncovered(F.col("text")).alias("pu"))
     child = own.select("run_id", "topo_index", "id", "label", "text", "guardrail", "inherited_claims", F.posexplode("parent_ids").alias("parent_pos", "parent"))
     child = with_signals(child.withColumn("text", F.coalesce(F.try_element_at("inherited_claims", F.col("parent")), "text"))).withColumn("c", F.struct(*SIDE)).withColumn("cu", uncovered(F.col("text")))
@@ -169,11 +189,14 @@ def graph_ids(nodes: DataFrame, threshold: str = "medium") -> DataFrame:
 
 def graph_report(nodes: DataFrame, threshold: str = "medium", rules=()) -> DataFrame:
     """One row a run: nodes, edges, issues, first blocking edge, families that speak there, contaminated nodes."""
-    edges = graph_edges(nodes)
-    issues = graph_issues(edges, rules)
-    first = first_blocking_edge(edges, issues, threshold)
+    # What several steps read is worked out once.
+    nodes = stored(nodes, "nodes")
+    shape = stored(shaped(nodes), "shape")
+    edges = stored(graph_edges(nodes, shape), "edges")
+    issues = stored(graph_issues(edges, rules).select("run_id", "edge_index", "family", "severity"), "issues")
+    first = stored(first_blocking_edge(edges, issues, threshold), "first")
     agree = issues.join(first.select("run_id", "edge_index"), ["run_id", "edge_index"]).groupBy("run_id").agg(F.count_distinct("family").alias("active"))
-    below = first.join(shaped(nodes).select("run_id", F.col("id").alias("to_id"), F.size("below").alias("contaminated")), ["run_id", "to_id"]).select("run_id", "edge_id", "contaminated")
+    below = first.join(shape.select("run_id", F.col("id").alias("to_id"), F.size("below").alias("contaminated")), ["run_id", "to_id"]).select("run_id", "edge_id", "contaminated")
     counts = nodes.groupBy("run_id").agg(F.count("*").alias("n_nodes"), F.sum(F.size("parent_ids")).alias("n_edges"))
     out = counts.join(issues.groupBy("run_id").agg(F.count("*").alias("n_issues")), "run_id", "left").join(below, "run_id", "left").join(agree, "run_id", "left")
     return out.select("run_id", "n_nodes", "n_edges", F.coalesce("n_issues", F.lit(0)).alias("n_issues"), F.col("edge_id").alias("first_blocking_edge"), F.coalesce("active", F.lit(0)).alias("active_families"), F.coalesce("contaminated", F.lit(0)).alias("contaminated"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprint import chain_fingerprint, long_id, short_id
 from ..functions.text import trimmed, uri_component
-from .detect import in_order, rank_of
-from .rollup import gate_decision, run_summary, transitions
+from .detect import in_order, rank_of, severity_of
+from .rollup import gate_decision, run_summary, threshold_rank, transitions
 
 VERSION = "0.5"
 
@@ -104,10 +104,20 @@ def replay_frames(signals: DataFrame, issues: DataFrame) -> DataFrame:
     return own.select("run_id", "stage_index", "label", F.size("negations").alias("n_negations"), F.coalesce("n", F.lit(0)).alias("incoming_issues"), F.coalesce("r", F.lit(0)).alias("incoming_rank"))
 
 
-def chain_report(stages: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row a run: identity, severity, first break, agreement and decision."""
-    from .rollup import family_agreement
-
-    agree = family_agreement(stages, issues).select("run_id", "active")
-    gate = gate_decision(stages, issues).select("run_id", "decision", "blocking_edge")
-    return run_summary(stages, issues).join(run_ids(stages), "run_id").join(agree, "run_id").join(gate, "run_id").withColumn("version", F.lit(VERSION))
+def chain_report(stages: DataFrame, issues: DataFrame, threshold: str = "medium") -> DataFrame:
+    """One row a run: identity, severity, first break, agreement and decision. Issues are read once: by edge, then by run, in the same exchange."""
+    mask = F.when(F.col("family") == "evidence", 1).when(F.col("family") == "meaning", 2).otherwise(4)
+    edges = issues.groupBy("run_id", "edge_index").agg(F.count("*").alias("n"), F.max(rank_of(F.col("severity"))).alias("rank"), F.bit_or(mask).alias("families"))
+    found = edges.groupBy("run_id").agg(
+        F.sum("n").alias("n"), F.max("rank").alias("rank"), F.min("edge_index").alias("first_break"), F.bit_count(F.min_by("families", "edge_index")).alias("active"),
+        F.min(F.when(F.col("rank") >= threshold_rank(threshold), F.col("edge_index"))).alias("blocking_edge"),
+    )
+    own = stages.groupBy("run_id").agg(F.count("*").alias("n_stages"), F.max("guardrail").alias("guardrail"), F.array_sort(F.collect_list(F.struct("stage_index", "id", "label", "text"))).alias("s"))
+    f = chain_fingerprint(F.coalesce("guardrail", F.lit("")), F.col("s"))
+    out = own.withColumn("f", f).join(found, "run_id", "left")
+    contaminated = F.when(F.col("first_break").isNull(), 0).otherwise(F.greatest(F.lit(0), F.col("n_stages") - F.col("first_break") - 1)).cast("long")
+    return out.select(
+        "run_id", "n_stages", F.coalesce("n", F.lit(0)).alias("n_issues"), severity_of(F.coalesce("rank", F.lit(0))).alias("severity"), "first_break", contaminated.alias("contaminated"),
+        short_id(F.col("f")).alias("id"), long_id(F.col("f")).alias("fingerprint"), F.coalesce("active", F.lit(0)).cast("long").alias("active"),
+        F.when(F.col("blocking_edge").isNull(), "allow").otherwise("block").alias("decision"), "blocking_edge", F.lit(VERSION).alias("version"),
+    )

@@ -9,19 +9,21 @@ from ..functions import lexicon, numbers
 from ..functions.text import normalised, trimmed
 
 
-def snapshot(text: Column, normal: Column) -> Column:
-    return F.struct(
-        numbers.claims(text).alias("numbers"),
-        lexicon.certainty(normal).alias("certainty"),
-        lexicon.scope(normal).alias("scope"),
-        lexicon.negations(normal).alias("negations"),
-        lexicon.completed_actions(normal).alias("actions"),
-    )
+#: What each kind of finding looks at; kinds that aren't listed look at none of the signals.
+NEEDS = {"number": ["numbers"], "certainty": ["certainty"], "quantifier": ["scope"], "negation": ["negations"], "guardrail": ["actions"]}
+TERM = "struct<term:string,rank:int>"
 
 
-def with_signals(stages: DataFrame, text: str = "text") -> DataFrame:
+def snapshot(text: Column, normal: Column, kinds=None) -> Column:
+    """All signals, or those that findings of these kinds need; the others are null."""
+    wanted = None if kinds is None else {n for k in kinds for n in NEEDS.get(k, [])}
+    makers = {"numbers": (numbers.claims, text, "array<string>"), "certainty": (lexicon.certainty, normal, TERM), "scope": (lexicon.scope, normal, TERM), "negations": (lexicon.negations, normal, "array<string>"), "actions": (lexicon.completed_actions, normal, "array<string>")}
+    return F.struct(*[(f(x) if wanted is None or name in wanted else F.lit(None).cast(kind)).alias(name) for name, (f, x, kind) in makers.items()])
+
+
+def with_signals(stages: DataFrame, text: str = "text", kinds=None) -> DataFrame:
     """Add normal (the normalised text) and sig; text is trimmed."""
-    return stages.withColumn(text, trimmed(F.col(text))).withColumn("normal", normalised(F.col(text))).withColumn("sig", snapshot(F.col(text), F.col("normal")))
+    return stages.withColumn(text, trimmed(F.col(text))).withColumn("normal", normalised(F.col(text))).withColumn("sig", snapshot(F.col(text), F.col("normal"), kinds))
 
 
 def signals(stages: DataFrame) -> DataFrame:

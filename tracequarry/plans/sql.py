@@ -42,23 +42,32 @@ WORDS = f"""list_filter(list_distinct(string_split_regex(regexp_replace({normal(
 RESTRICT = "|".join(x.replace("'", "''") for x in lx.RESTRICTIONS)
 
 
-def base(view: str, numbers: bool = True) -> str:
-    """WITH st (stages), sig (their signals), ed (edges), iss (run_id, edge_index, type, family, severity, title, ord, fl, tl)."""
+ENDS = """e0 AS (SELECT c.run_id, lk.edge_index, c.guardrail, c.id AS tid, c.label AS tl, c.text AS tt, c.n AS n, c.cert AS ct, c.sc AS st, c.negs AS ng, c.acts, c.nums AS nn,
+  p.id AS fid, p.label AS fl, p.text AS ft, p.n AS pn, p.cert AS pc, p.sc AS ps, p.negs AS pg, p.nums AS pnums
+  FROM lk JOIN sig c ON c.run_id = lk.run_id AND c.stage_index = lk.ti JOIN sig p ON p.run_id = lk.run_id AND p.stage_index = lk.fi),"""
+NEXT = """e0 AS (SELECT run_id, CAST(stage_index - 1 AS INT) AS edge_index, guardrail, id AS tid, label AS tl, text AS tt, n AS n, cert AS ct, sc AS st, negs AS ng, acts, nums AS nn,
+  lag(id) OVER w AS fid, lag(label) OVER w AS fl, lag(text) OVER w AS ft, lag(n) OVER w AS pn, lag(cert) OVER w AS pc, lag(sc) OVER w AS ps, lag(negs) OVER w AS pg, lag(nums) OVER w AS pnums
+  FROM sig WINDOW w AS (PARTITION BY run_id ORDER BY stage_index)),"""
+
+
+def base(view: str, numbers: bool = True, stages: str | None = None, edges: str | None = None) -> str:
+    """WITH st (stages), sig (their signals), ed (edges), iss (run_id, edge_index, type, family, severity, title, ord, fl, tl).
+
+    stages: SQL in place of a view. edges: SQL of lk (run_id, edge_index, fi, ti: stage indexes) in place of neighbours; every edge's breach then counts.
+    """
     one = lambda kind, sev, title, order, where: f"SELECT run_id, edge_index, '{kind}' AS type, '{lx.FAMILY[kind]}' AS family, {sev} AS severity, '{title}' AS title, {order} AS ord, fl, tl FROM ed WHERE NOT gone AND {where}"
     share = lambda n: f"CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda w: regexp_matches({n}, concat('\\b', w, '\\b')))) / len(words) ELSE 1.0 END"
     return f"""
-WITH st AS ({duck(view)}),
+WITH st AS ({stages or duck(view)}),
 n0 AS (SELECT run_id, stage_index, id, label, trim(coalesce(text, '')) AS text, guardrail FROM st),
 n1 AS (SELECT *, {normal("text")} AS n FROM n0),
 sig AS (SELECT *, {highest(lx.CERTAINTY, True)} AS cert, {highest(lx.SCOPE)} AS sc, list_distinct(regexp_extract_all(n, '\\b(?:{NEG})\\b')) AS negs,
   regexp_extract_all(regexp_replace(n, '\\b(?:{NEG})\\b ?(?:[^ .!?;,:]+ ?){{0,3}}\\b(?:{VERBS})\\b', ' ', 'g'), '\\b(?:{VERBS})\\b') AS acts, {NUMBERS if numbers else "CAST([] AS VARCHAR[])"} AS nums FROM n1),
-e0 AS (SELECT run_id, CAST(stage_index - 1 AS INT) AS edge_index, guardrail, id AS tid, label AS tl, text AS tt, n AS n, cert AS ct, sc AS st, negs AS ng, acts, nums AS nn,
-  lag(id) OVER w AS fid, lag(label) OVER w AS fl, lag(text) OVER w AS ft, lag(n) OVER w AS pn, lag(cert) OVER w AS pc, lag(sc) OVER w AS ps, lag(negs) OVER w AS pg, lag(nums) OVER w AS pnums
-  FROM sig WINDOW w AS (PARTITION BY run_id ORDER BY stage_index)),
+{f"lk AS ({edges})," + ENDS if edges else NEXT}
 e1 AS (SELECT *, (ft = '' OR tt = '') AS gone, {rank(lx.CERTAINTY, "ct")} AS cr, {rank(lx.CERTAINTY, "pc")} AS pcr, {rank(lx.SCOPE, "st")} AS sr, {rank(lx.SCOPE, "ps")} AS psr, {WORDS} AS words FROM e0 WHERE edge_index >= 0),
 ed AS (SELECT *, CASE WHEN {normal("coalesce(guardrail, '')")} = '' THEN NULL WHEN regexp_matches({normal("coalesce(guardrail, '')")}, '\\b(?:{RESTRICT})\\b') AND len(acts) > 0 THEN 'action'
   WHEN len(words) >= 2 AND {share("pn")} >= 0.3 AND {share("n")} < 0.3 THEN 'dropped' END AS breach FROM e1),
-hit AS (SELECT run_id, min(edge_index) AS edge_index FROM ed WHERE breach IS NOT NULL GROUP BY run_id),
+hit AS (SELECT run_id, {'' if edges else 'min'}(edge_index) AS edge_index FROM ed WHERE breach IS NOT NULL GROUP BY run_id{', edge_index' if edges else ''}),
 iss AS ({one("number", "'high'", "Numeric claim changed", 0, "list_sort(nn) <> list_sort(pnums)")}
   UNION ALL {one("certainty", "CASE WHEN cr = 3 THEN 'high' ELSE 'medium' END", "Confidence was inflated", 1, "(cr > pcr OR (pcr IS NULL AND cr >= 2))")}
   UNION ALL {one("quantifier", "CASE WHEN sr = 4 THEN 'high' ELSE 'medium' END", "Scope became broader", 2, "(sr > psr OR (psr IS NULL AND sr >= 3))")}

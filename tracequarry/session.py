@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # HotSpot never compiles methods over 8000 bytes; the signal expressions run three times faster outside such a method.
@@ -17,3 +20,26 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a local session gets one of its own and any other an error, as executors have disks of their own."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    at = at or _own.get(sc.applicationId) or _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="shared-"))
+    return (at if "://" in at else f"file://{at}").rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read again: cuts lineage and survives lost executors. It goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
