@@ -178,3 +178,20 @@ def test_toxicity_on_the_held_out_labels(spark):
     print(f"held out: {len(bad)} toxic, {len(good)} ordinary, AUC {auc:.3f}, recall {recall:.3f}, loss {loss:.3f}, precision {recall * len(bad) / (recall * len(bad) + loss * len(good)):.3f}")
     # 358 toxic documents to learn from: see README.md for a larger table.
     assert auc >= 0.85 and recall >= 0.6 and loss <= 0.12
+
+
+def test_neighbours_among_many_copies(spark):
+    """A vector that many rows share, queries among them, with blocks of a few rows: exact, as all axes of all buckets are probed."""
+    from test_contracts import once, truth
+
+    from tracequarry.llm import ann
+
+    rng = np.random.default_rng(8)
+    same = rng.normal(size=8)
+    rows = [(i, (same if i % 3 else rng.normal(size=8)).tolist()) for i in range(240)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(frame, "vec_id % 4 = 0", tables=1, probes=16, block=7).collect()))
+    expected = once(truth(rows, len(rows), 4), 5)
+    assert [x[:2] for x in got] == [x[:2] for x in expected] and np.allclose([x[3] for x in got], [x[3] for x in expected], atol=1e-12)
+    # Equal scores go to smaller ids.
+    assert [x[2] for x in got if x[0] == 4] == [1, 2, 5, 7, 8]

@@ -4,8 +4,9 @@ Each table has a pseudo-rotation of three rounds of random signs and a fast Hada
 vector's bucket is the signed axis nearest to its image. A query probes the buckets of its first few axes in
 each table, and every vector there is ranked by the exact cosine in double precision. Vectors and
 probes meet by (table, bucket, block): a bucket is cut into blocks of bounded size by a hash of
-vec_id, so one that holds a third of all rows is many tasks' work, and each block gives no more than k
-rows a query. A query whose buckets hold fewer than k other ids is compared with all rows.
+vec_id, and its queries likewise, so one that holds a third of all rows is many tasks' work, and each block gives no more than k
+rows a query. Of equal vectors only the k + 1 smallest ids are candidates, as no other can be among the k nearest: a crowd of copies
+is one vector's work for each query. A query whose buckets hold fewer than k other ids is compared with all rows.
 """
 
 from __future__ import annotations
@@ -134,21 +135,25 @@ def search(frame: DataFrame, is_query: Column | str, k: int = 5, vec: str = "emb
         q, v, s = nearest(get(right), right["id"].to_numpy(), get(left), left["id"].to_numpy(), k)
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
-    on = ["d", "t", "bucket", "block"]
+    on = ["d", "t", "bucket", "block", "part"]
 
     def met(index: DataFrame, asked: DataFrame) -> DataFrame:
+        own, numbers = ["d", "t", "bucket"], lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        count = lambda rows, n: rows.groupBy(*own).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
         # At most tables * 2 * dimension rows a length: broadcast.
-        blocks = stored(index.groupBy("d", "t", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
-        index = index.join(F.broadcast(blocks), ["d", "t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        asked = asked.join(F.broadcast(blocks), ["d", "t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocks = F.broadcast(stored(count(index, "blocks").join(count(asked, "parts"), own), "blocks"))
+        index = index.join(blocks, own).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", F.explode(numbers("parts")))
+        asked = asked.join(blocks, own).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("block", F.explode(numbers("blocks")))
         return index.select(*on, "id", "raw").groupBy(*on).cogroup(asked.select(*on, "id", "raw").groupBy(*on)).applyInPandas(rank, "query_id long, vec_id long, score double")
 
     queries = rows.filter(is_query)
+    alike = Window.partitionBy("v").orderBy("vec_id")
+    candidates = rows.withColumn("alike", F.row_number().over(alike)).filter(F.col("alike") <= k + 1).select("vec_id", "v")
     merged = lambda near: near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = stored(merged(met(rows.mapInArrow(hashed(1), schema), queries.mapInArrow(hashed(probes), schema))), "near")
+    best = stored(merged(met(candidates.mapInArrow(hashed(1), schema), queries.mapInArrow(hashed(probes), schema))), "near")
     enough = best.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = stored(queries.join(enough, "vec_id", "left_anti").select(*rows.columns), "short")
     if not short.isEmpty():
-        best = merged(best.unionByName(met(rows.mapInArrow(hashed(0), schema), short.mapInArrow(hashed(0), schema))))
+        best = merged(best.unionByName(met(candidates.mapInArrow(hashed(0), schema), short.mapInArrow(hashed(0), schema))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
