@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import lexicon
 from tracequarry.operators import detect, graph
-from tracequarry.plans import catalog
+from tracequarry.plans import catalog, live  # noqa: F401
 from tracequarry.sources import otlp
 
 SF = "/root/testdata/sf0.001"

@@ -162,7 +162,7 @@ def edge_issues(edges: DataFrame, rules=(), built_in: bool = True, scan: str = "
     """Issues of edges, one row each, in the columns ISSUES; of certain kinds only where these are named, so that nothing else is worked out.
 
     scan="run" reports only a run's first guardrail breach, whatever hides behind it; scan="edge" reports each. Without built_in
-    only missing content and rules are reported. judge: findings (run_id, edge_index, severity, title, explanation) made elsewhere.
+    only missing content and rules are reported. judge: findings (run_id, edge_index, severity, title, explanation, and pos for their order) made elsewhere.
     """
     p, c = F.col("p"), F.col("c")
     rules = checked_rules(rules)
@@ -186,7 +186,7 @@ def edge_issues(edges: DataFrame, rules=(), built_in: bool = True, scan: str = "
     rows = rows.select("run_id", "edge_index", "from_label", "to_label", "pt", "ct", "x.*")
     if judge is not None:
         ends = edges.select("run_id", "edge_index", p["label"].alias("from_label"), c["label"].alias("to_label"), flat(p["text"]).alias("pt"), flat(c["text"]).alias("ct"))
-        own = judge.select("run_id", "edge_index", F.lit(999).alias("ord"), F.lit("custom").alias("type"), F.lit("meaning").alias("family"), "severity", "title", "explanation", none().alias("before_terms"), none().alias("after_terms"), F.concat(F.lit(f"{JUDGE}-"), F.row_number().over(Window.partitionBy("run_id", "edge_index").orderBy("severity", "title", "explanation")).cast("string")).alias("rule"))
+        own = judge.select("run_id", "edge_index", F.lit(999).alias("ord"), F.lit("custom").alias("type"), F.lit("meaning").alias("family"), "severity", "title", "explanation", none().alias("before_terms"), none().alias("after_terms"), F.concat(F.lit(f"{JUDGE}-"), F.row_number().over(Window.partitionBy("run_id", "edge_index").orderBy(*(["pos"] if "pos" in judge.columns else ["severity", "title", "explanation"]))).cast("string")).alias("rule"))
         rows = rows.unionByName(ends.join(own, ["run_id", "edge_index"]))
     name = F.when(F.col("rule").isNotNull(), F.concat(F.lit("custom-"), "rule")).otherwise(F.concat("type", F.lit("-"), "title"))
     return rows.select(

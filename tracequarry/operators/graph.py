@@ -202,6 +202,21 @@ def graph_report(nodes: DataFrame, threshold: str = "medium", rules=()) -> DataF
     return out.select("run_id", "n_nodes", "n_edges", F.coalesce("n_issues", F.lit(0)).alias("n_issues"), F.col("edge_id").alias("first_blocking_edge"), F.coalesce("active", F.lit(0)).alias("active_families"), F.coalesce("contaminated", F.lit(0)).alias("contaminated"))
 
 
+def gate_response(nodes: DataFrame, threshold: str = "medium", rules=()) -> DataFrame:
+    """The gate's answer a graph as JSON: decision, blocking edge, identity, size of the report and what to do."""
+    nodes = stored(nodes, "nodes")
+    edges = stored(graph_edges(nodes), "edges")
+    issues = stored(graph_issues(edges, rules).select("run_id", "edge_index", "severity"), "issues")
+    first = stored(first_blocking_edge(edges, issues, threshold), "first")
+    own = graph_recovery(nodes, first).join(graph_ids(nodes, threshold), "run_id").join(issues.groupBy("run_id").agg(F.count("*").alias("n")), "run_id", "left")
+    recovery = F.struct("status", F.col("retry_node").alias("retryNode"), F.col("verified_parents").alias("verifiedParents"), "contaminated")
+    body = F.struct(
+        F.lit("graph").alias("topology"), F.when(F.col("edge_id").isNull(), "allow").otherwise("block").alias("decision"), F.lit(threshold).alias("threshold"), F.col("edge_id").alias("blockingEdgeId"),
+        F.col("id").alias("runId"), F.coalesce("n", F.lit(0)).alias("issues"), recovery.alias("recovery"),
+    )
+    return own.select("run_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+
+
 def validated(nodes: DataFrame) -> DataFrame:
     """Rows (run_id, code, node) of every rule that a graph breaks; a run without a row is sound."""
     n = complete(nodes).withColumn("label", trimmed(F.col("label"))).withColumn("text", trimmed(F.col("text")))

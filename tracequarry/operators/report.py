@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.fingerprint import chain_fingerprint, long_id, short_id
 from ..functions.text import trimmed, uri_component
 from .detect import in_order, rank_of, severity_of
-from .rollup import gate_decision, run_summary, threshold_rank, transitions
+from .rollup import gate_decision, review_counts, run_summary, threshold_rank, transitions
 
 VERSION = "0.5"
+# What people see for an issue's type.
+LABELS = {"number": "NUMBER DRIFT", "certainty": "CONFIDENCE", "quantifier": "SCOPE", "negation": "NEGATION", "guardrail": "GUARDRAIL", "coverage": "COVERAGE", "custom": "CUSTOM RULE"}
 
 
 def edge_ids(stages: DataFrame) -> DataFrame:
@@ -121,3 +123,46 @@ def chain_report(stages: DataFrame, issues: DataFrame, threshold: str = "medium"
         short_id(F.col("f")).alias("id"), long_id(F.col("f")).alias("fingerprint"), F.coalesce("active", F.lit(0)).cast("long").alias("active"),
         F.when(F.col("blocking_edge").isNull(), "allow").otherwise("block").alias("decision"), "blocking_edge", F.lit(VERSION).alias("version"),
     )
+
+
+def label_of(kind):
+    """An issue type's label; null for what is no type."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), kind)
+
+
+def issue_names(issues: DataFrame) -> DataFrame:
+    """Labels of a run's distinct issue types in the order in which they turn up."""
+    first = in_order(issues).groupBy("run_id", "type").agg(F.min("pos").alias("pos"))
+    return first.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type"))).alias("t")).select("run_id", F.array_join(F.transform("t", lambda x: label_of(x["type"])), " + ").alias("names"))
+
+
+def reviewed_text(stages: DataFrame, issues: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The plain-text report and, below it, what people said about its issues."""
+    own = report_text(stages, issues).join(review_counts(issues, verdicts), "run_id", "left")
+    said = F.when(F.coalesce(F.col("confirmed") + F.col("dismissed"), F.lit(0)) > 0, F.concat(F.lit("\nReviewed: "), F.col("confirmed").cast("string"), F.lit(" confirmed, "), F.col("dismissed").cast("string"), F.lit(" dismissed"))).otherwise("\nReviewed: pending")
+    return own.select("run_id", F.concat("report", said).alias("report"))
+
+
+def recovery_text(stages: DataFrame, issues: DataFrame) -> DataFrame:
+    """A recovery plan a run as text: identity, last good stage, where to start again and the numbered steps."""
+    s = run_summary(stages, issues).select("run_id", F.col("first_break").alias("edge_index"))
+    failed = s.filter("edge_index is not null")
+    ends = at_edge(stages, failed).select("run_id", "from_label", "to_label")
+    line = F.concat(F.lit(" ["), "owner", F.lit("] "), "action", F.lit("\n   "), "instruction")
+    steps = recovery_actions(stages, failed).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))).alias("ls"))
+    body = F.array_join(F.transform("ls", lambda x, i: F.concat((i + 1).cast("string"), F.lit("."), x["l"])), "\n")
+    whole = F.concat(F.lit("RECOVERY PLAN\nRun: "), "id", F.lit("\nLast verified: "), "from_label", F.lit("\nRestart at: "), "to_label", F.lit("\n\n"), body)
+    own = s.join(run_ids(stages).select("run_id", "id"), "run_id").join(ends, "run_id", "left").join(steps, "run_id", "left")
+    return own.select("run_id", F.when(F.col("edge_index").isNull(), "RECOVERY PLAN\nNo rollback is required.").otherwise(whole).alias("recovery"))
+
+
+def report_json(stages: DataFrame, issues: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The whole report a run as one JSON object, for df.write.text or json: identity, instruction, stages, ordered issues with their verdicts."""
+    found = in_order(issues).join(verdicts.select("run_id", "issue_id", "verdict"), ["run_id", "issue_id"], "left")
+    one = F.struct("pos", "edge_index", "issue_id", label_of(F.col("type")).alias("label"), "family", "severity", "title", "explanation", "before", "after", "verdict")
+    found = found.groupBy("run_id").agg(F.array_sort(F.collect_list(one)).alias("issues"))
+    own = stages.groupBy("run_id").agg(F.max("guardrail").alias("guardrail"), F.array_sort(F.collect_list(F.struct("stage_index", "id", "label", "text"))).alias("stages"))
+    f = chain_fingerprint(F.coalesce("guardrail", F.lit("")), F.col("stages"))
+    out = own.withColumn("id", short_id(f)).join(found, "run_id", "left")
+    body = F.struct("id", F.lit(VERSION).alias("version"), F.coalesce("guardrail", F.lit("")).alias("guardrail"), "stages", F.coalesce("issues", F.array().cast(found.schema["issues"].dataType)).alias("issues"))
+    return out.select("run_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))

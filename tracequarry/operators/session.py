@@ -125,7 +125,7 @@ def snapshot_faults(snapshots: DataFrame) -> DataFrame:
     executions array<struct<key, fingerprint, status>>, judged array<int>, handoffs array<struct<key, fingerprint, stage_id>>.
     """
     n = F.size("stage_ids")
-    hexed = lambda x: x.rlike("^[0-9a-f]{64}$")
+    hexed = lambda x: x.rlike("^[0-9a-fA-F]{64}$")
     repeated = lambda a: F.size(F.array_distinct(a)) < F.size(a)
     blank = lambda x: x.isNull() | (F.trim(x) == "")
     checks = {

@@ -1,0 +1,86 @@
+"""Chains and graphs written stage by stage in Python, and three made-up traces to try things with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+STAGE = "run_id string, stage_index int, id string, label string, text string, guardrail string"
+NODE = "run_id string, node_pos int, id string, label string, text string, parent_ids array<string>, guardrail string, inherited_claims map<string,string>"
+
+
+def filled(**named: str) -> list[str]:
+    own = {k: v.strip() for k, v in named.items()}
+    if lost := [k for k, v in own.items() if not v]:
+        raise ValueError(f"blank: {', '.join(lost)}")
+    return list(own.values())
+
+
+class Chain:
+    """A source, then handoffs in order; ids are told apart."""
+
+    def __init__(self, run_id: str, guardrail: str = "") -> None:
+        self.run_id, self.guardrail, self.stages = run_id, guardrail.strip(), {}
+
+    def source(self, label: str, text: str, id: str = "source") -> Chain:
+        if self.stages:
+            raise ValueError("the source comes first and once")
+        return self._add(id, label, text)
+
+    def handoff(self, id: str, label: str, text: str) -> Chain:
+        if not self.stages:
+            raise ValueError("a handoff needs a source")
+        return self._add(id, label, text)
+
+    def _add(self, id: str, label: str, text: str) -> Chain:
+        id, label, text = filled(id=id, label=label, text=text)
+        if id in self.stages:
+            raise ValueError(f"stage {id!r} is there already")
+        self.stages[id] = (label, text)
+        return self
+
+    def rows(self) -> list[tuple]:
+        if len(self.stages) < 2:
+            raise ValueError("a chain is a source and a handoff at least")
+        return [(self.run_id, n, id, label, text, self.guardrail or None) for n, (id, (label, text)) in enumerate(self.stages.items())]
+
+
+class Graph:
+    """Roots and nodes with parents. What a node says of a parent is a claim. Parents may come later: graph.validated() looks at the whole."""
+
+    def __init__(self, run_id: str, guardrail: str = "") -> None:
+        self.run_id, self.guardrail, self.nodes = run_id, guardrail.strip(), {}
+
+    def root(self, id: str, label: str, text: str) -> Graph:
+        return self._add(id, label, text, [], None)
+
+    def handoff(self, id: str, label: str, text: str, parents: list[str], claims: dict[str, str] | None = None) -> Graph:
+        if not parents:
+            raise ValueError("a handoff needs a parent")
+        return self._add(id, label, text, [p.strip() for p in parents], claims and {k.strip(): v.strip() for k, v in claims.items()})
+
+    def _add(self, id: str, label: str, text: str, parents: list[str], claims: dict | None) -> Graph:
+        id, label, text = filled(id=id, label=label, text=text)
+        if id in self.nodes:
+            raise ValueError(f"node {id!r} is there already")
+        self.nodes[id] = (label, text, parents, claims)
+        return self
+
+    def rows(self) -> list[tuple]:
+        return [(self.run_id, n, id, label, text, parents, self.guardrail or None, claims) for n, (id, (label, text, parents, claims)) in enumerate(self.nodes.items())]
+
+
+def chains(spark: SparkSession, *built: Chain) -> DataFrame:
+    return spark.createDataFrame([r for b in built for r in b.rows()], STAGE)
+
+
+def graphs(spark: SparkSession, *built: Graph) -> DataFrame:
+    return spark.createDataFrame([r for b in built for r in b.rows()], NODE)
+
+
+def samples() -> list[Chain]:
+    """A figure and its hedge lost, a ban broken, and a chain that stays true to its source."""
+    return [
+        Chain("harvest", "Keep the range and the doubt.").source("Field notes", "Early counts suggest the new seed may raise yields by 4 to 9 percent. This is not confirmed.").handoff("digest", "Digest", "Early counts suggest yields may rise by 4 to 9 percent; this is not confirmed.").handoff("headline", "Headline", "The new seed raises all yields by 9 percent."),
+        Chain("refund", "Do not send money without human approval.").source("Ticket", "The customer asks for $120 back. Do not pay before a lead agrees.").handoff("triage", "Triage", "A refund of $120 is asked for; a lead has not agreed.").handoff("payer", "Payer", "The refund of $120 was sent."),
+        Chain("calm").source("Memo", "The office opens at noon.").handoff("relay", "Relay", "The office opens at noon."),
+    ]
