@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import tracequarry as tq
 from tracequarry.operators import detect, report, runtime, session
-from tracequarry.sources import build, otlp
+from tracequarry.sources import otlp, payloads, samples
 
 ASKED = "session_id string, seq long, tool_name string, action string, input string, idempotency_key string, known boolean, decision string, fails boolean"
 
@@ -86,7 +86,7 @@ def test_judges(spark):
 
 
 def test_modes(spark):
-    st = build.chains(spark, *build.samples())
+    st = samples.stages(spark)
     judge = spark.createDataFrame([("calm", 0, 1, "low", "B", "e"), ("calm", 0, 0, "high", "Z", "e")], "run_id string, edge_index int, pos int, severity string, title string, explanation string")
     ids = lambda mode: {r["issue_id"] for r in runtime.by_mode(st, mode, judge=judge).filter("run_id = 'calm'").collect()}
     assert ids("deterministic") == set() and ids("hybrid") == ids("semantic") == {"0-custom-semantic-judge-1", "0-custom-semantic-judge-2"}
@@ -99,7 +99,7 @@ def test_modes(spark):
 
 
 def test_snapshots_and_events(spark):
-    st = build.chains(spark, *build.samples())
+    st = samples.stages(spark)
     found = detect.analyse(st)
     got = {r["session_id"]: (len(r["stage_ids"]), r["frozen"], r["recovery_index"], r["event_seq"]) for r in runtime.snapshots(st, found).collect()}
     assert got == {"harvest": (3, True, 1, 3), "refund": (3, True, 1, 3), "calm": (2, False, None, 2)}
@@ -110,21 +110,19 @@ def test_snapshots_and_events(spark):
 
 
 def test_recovery_text(spark):
-    st = build.chains(spark, *build.samples())
+    st = samples.stages(spark)
     got = {r["run_id"]: r["recovery"] for r in report.recovery_text(st, detect.analyse(st)).collect()}
     assert got["calm"] == "RECOVERY PLAN\nNo rollback is required."
     assert "Last verified: Triage\nRestart at: Payer\n\n1. [Runtime] freeze" in got["refund"] and "\n5. [Human reviewer] approve" in got["refund"]
 
 
 def test_builders(spark):
-    assert tq.Chain is build.Chain
-    for wrong in (lambda: build.Chain("r").handoff("a", "b", "c"), lambda: build.Chain("r").source("a", " "), lambda: build.Chain("r").source("a", "b").source("a", "b"), lambda: build.Chain("r").source("a", "b").handoff("source", "b", "c"), lambda: build.Chain("r").source("a", "b").rows(), lambda: build.Graph("g").handoff("a", "b", "c", []), lambda: build.Graph("g").root("a", "b", "c").root(" a", "b", "c")):
-        with pytest.raises(ValueError):
+    assert tq.Chain is payloads.Chain
+    for wrong in (lambda: payloads.Graph("g").node("a", " ", "c"), lambda: payloads.Graph("g").node("a", "b", "c").node(" a", "b", "c")):
+        with pytest.raises(payloads.TraceError):
             wrong()
-    g = build.Graph("g", " keep ").root("a", "A", "one").handoff("b", "B", "two", ["a"], {"a": "one"})
-    rows = build.graphs(spark, g).orderBy("node_pos").collect()
+    rows = payloads.Graph("g", "keep").node("a", "A", "one").node("b", "B", "two", ["a "], {" a": "one "}).to_frame(spark).orderBy("node_pos").collect()
     assert rows[1]["parent_ids"] == ["a"] and rows[1]["inherited_claims"] == {"a": "one"} and rows[0]["guardrail"] == "keep"
-    assert {r["guardrail"] for r in build.chains(spark, build.samples()[2]).collect()} == {None}
 
 
 @pytest.mark.parametrize("raw, wanted", [

@@ -4,9 +4,9 @@ from .operators import detect, evals, graph, policy, report, rollup, runtime, se
 from .operators.detect import Rule, analyse
 from .operators.graph import graph_report
 from .operators.report import chain_report
-from .sources import build, otlp, payloads
-from .sources.build import Chain, Graph
+from .sources import otlp, payloads, samples
+from .sources.payloads import Chain, Graph
 from .streaming import gate
 
-__all__ = ["Chain", "Graph", "Rule", "analyse", "build", "chain_report", "detect", "evals", "gate", "graph", "graph_report", "otlp", "payloads", "policy", "report", "rollup", "runtime", "session", "signals"]
+__all__ = ["Chain", "Graph", "Rule", "analyse", "chain_report", "detect", "evals", "gate", "graph", "graph_report", "otlp", "payloads", "policy", "report", "rollup", "runtime", "samples", "session", "signals"]
 __version__ = "0.1.0"

@@ -53,17 +53,17 @@ SHAPE = "node_pos int, id string, topo_index int, depth int, below array<string>
 def shaped(nodes: DataFrame) -> DataFrame:
     """Each node's place in first-in-first-out topological order, its depth (longest path from a root) and all it leads to, itself first.
 
-    A run is one group; payload limits bound it to fifty nodes. Nodes on or behind a cycle have no place.
+    A run is one group; payload limits bound it to fifty nodes. Nodes on or behind a cycle have no place; parents that are not there do not count.
     """
     own = complete(nodes).select("run_id", "node_pos", "id", "parent_ids")
     kind = own.schema["run_id"].dataType.simpleString()
 
     def walk(ids, parents):
         children = {i: [] for i in ids}
+        parents = {i: [p for p in parents[i] if p in children] for i in ids}
         for i in ids:
             for p in parents[i]:
-                if p in children:
-                    children[p].append(i)
+                children[p].append(i)
         left = {i: len(parents[i]) for i in ids}
         queue, depth = [i for i in ids if not left[i]], {}
         for i in queue:

@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GATE = "seq long, op string, outcome string, stage_id string, frozen boolean, stages int, event_seq long"
 WINDOW_MS, QUOTA = 60_000, 60
@@ -80,18 +81,34 @@ def walked(session: Session, rows) -> list[tuple]:
     return out
 
 
-def gate_replay(operations: DataFrame) -> DataFrame:
-    """operations (session_id, seq, op, agent_id, content, idempotency_key, blocked) of whole sessions to one decision each."""
+def folded(rows: DataFrame, key: str, order: list[str], columns: list[str], start, step, schema: str) -> DataFrame:
+    """Walk each key's rows in order: step(state, columns of a row) gives (state, row of schema). Rows come sorted and in Arrow batches, so a task holds one batch and one
+    key's state, however many rows the key has; a single key's rows are walked by a single task, as each state needs the one before.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    out = T.StructType.fromDDL(f"{key} {kind}, {schema}")
+    own = rows.select(key, *columns).repartition(key).sortWithinPartitions(key, *order, *[c for c in columns if c not in order])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(key, pdf):
-        import pandas as pd
+        arrow, now, state = to_arrow_schema(out), object(), None
+        for batch in batches:
+            told = []
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now:
+                    now, state = k, start()
+                state, said = step(state, row)
+                told.append((k, *said))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*told) if told else [[] for _ in arrow], arrow)], schema=arrow)
 
-        pdf = pdf.astype(object).where(pdf.notna(), None).sort_values("seq", kind="stable")
-        rows = walked(Session(), pdf[["seq", "op", "agent_id", "content", "idempotency_key", "blocked"]].itertuples(index=False))
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["session_id", *[x.split()[0] for x in GATE.split(", ")]])
+    return own.mapInArrow(run, out)
 
-    kind = operations.schema["session_id"].dataType.simpleString()
-    return operations.groupBy("session_id").applyInPandas(run, f"session_id {kind}, {GATE}")
+
+def gate_replay(operations: DataFrame) -> DataFrame:
+    """operations (session_id, seq, op, agent_id, content, idempotency_key, blocked) of whole sessions to one decision each, in order of seq (ties by the other columns)."""
+    return folded(operations, "session_id", ["seq"], ["seq", "op", "agent_id", "content", "idempotency_key", "blocked"], Session, lambda s, row: (s, walked(s, [row])[0]), GATE)
 
 
 def limited(now: int, state: tuple[int, int] | None, quota: int = QUOTA, window: int = WINDOW_MS) -> tuple[bool, int, tuple[int, int]]:
@@ -105,17 +122,11 @@ def limited(now: int, state: tuple[int, int] | None, quota: int = QUOTA, window:
 def rate_limit(requests: DataFrame, quota: int = QUOTA, window: int = WINDOW_MS) -> DataFrame:
     """requests (tenant, request_id, now_ms) to allowed and retry_after_ms, in order of now_ms, then request_id."""
 
-    def run(key, pdf):
-        import pandas as pd
-
-        state, out = None, []
-        for rid, now in pdf.sort_values(["now_ms", "request_id"])[["request_id", "now_ms"]].itertuples(index=False):
-            ok, wait, state = limited(int(now), state, quota, window)
-            out.append((key[0], rid, ok, 0 if ok else wait))
-        return pd.DataFrame(out, columns=["tenant", "request_id", "allowed", "retry_after_ms"])
+    def step(state, row):
+        ok, wait, state = limited(row[0], state, quota, window)
+        return state, (row[1], ok, 0 if ok else wait)
 
-    kind = requests.schema["tenant"].dataType.simpleString()
-    return requests.groupBy("tenant").applyInPandas(run, f"tenant {kind}, request_id long, allowed boolean, retry_after_ms long")
+    return folded(requests, "tenant", ["now_ms", "request_id"], ["now_ms", "request_id"], lambda: None, step, "request_id long, allowed boolean, retry_after_ms long")
 
 
 def snapshot_faults(snapshots: DataFrame) -> DataFrame:

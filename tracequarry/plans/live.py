@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import detect, graph, policy, report, runtime, session
-from ..sources import build, otlp
+from ..sources import otlp, payloads, samples
 from . import sql
 from .catalog import BLOCK, FIRST, HANGS, RUN_ID, TOOLS_D, VER, G, J, O, intents, nodes_of, operations, orders, query, verdicts
 from .views import duck, view
@@ -279,10 +281,78 @@ def span_order(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('harvest', 1, 'number', 'high'), ('harvest', 1, 'quantifier', 'high'), ('harvest', 1, 'negation', 'high'), ('refund', 1, 'guardrail', 'high'), ('refund', 1, 'negation', 'high')) t(run_id, edge_index, type, severity)")
 def builtin_traces(spark, sf_dir):
     """What the detectors say of the made-up traces."""
-    return detect.analyse(build.chains(spark, *build.samples())).select("run_id", "edge_index", "type", "severity")
+    return detect.analyse(samples.stages(spark)).select("run_id", "edge_index", "type", "severity")
 
 
 @query("SELECT * FROM (VALUES (0, 'a', ''), (1, 'b', 'a'), (2, 'c', 'a'), (3, 'd', 'b,c')) t(node_pos, id, parents)")
 def builder_graph(spark, sf_dir):
-    g = build.Graph("built").root(" a ", "A", "one").handoff("b", "B", "two", ["a"]).handoff("c", "C", "three", ["a "]).handoff("d", "D", "four", ["b", "c"], {"b": "two"})
-    return build.graphs(spark, g).select("node_pos", "id", F.array_join("parent_ids", ",").alias("parents"))
+    g = payloads.Graph("built").node(" a ", "A", "one").node("b", "B", "two", ["a"]).node("c", "C", "three", ["a "]).node("d", "D", "four", ["b", "c"], {"b": "two"})
+    return g.to_frame(spark).select("node_pos", "id", F.array_join("parent_ids", ",").alias("parents"))
+
+
+# Broken payloads
+
+
+def staged(*stages, **more) -> str:
+    return json.dumps({"stages": [dict(zip(("id", "label", "text"), s)) for s in stages], **more})
+
+
+def logged(*events) -> str:
+    return json.dumps({"events": [dict(zip(("sequence", "type", "agentId", "agentName", "content", "timestamp"), e)) for e in events]})
+
+
+def noded(*nodes, **more) -> str:
+    return json.dumps({"schemaVersion": "1.1", "nodes": [dict(zip(("id", "label", "text", "parentIds", "inheritedClaims"), n)) for n in nodes], **more})
+
+
+A, B = ("a", "A", "x"), ("b", "B", "y")
+SRC, HAND = (0, "source", "a", "A", "x"), (1, "handoff", "b", "B", "y")
+#: A chain payload and what is wrong with it.
+CHAINS = [
+    (staged(A, B), []), ("nope", ["not-json payload"]), (staged(A, B, schemaVersion="2.0"), ["version payload"]), (staged(A, B, events=[]), ["stages-or-events payload"]), ('{"runName":"x"}', ["stages-or-events payload"]), (staged(A), ["too-few-stages payload"]),
+    (staged(A, ("b", " ", "")), ["blank-label stages[1]", "blank-text stages[1]"]), (staged(A, A), ["repeated-id stages[1]"]), (staged((" ", "A", "x"), B), ["blank-id stages[0]"]), (staged(A, B, blockAtOrAbove="severe"), ["threshold payload"]),
+    (staged(("a", "A" * 201, "x"), B), ["long-label stages[0]"]), (staged(A, B, runName="r" * 201), ["long-run-name payload"]), (staged(*[(f"s{i}", "A", "x") for i in range(51)]), ["too-many-stages payload"]), (staged(A, B, guardrail="g" * 20001), ["long-guardrail payload"]),
+    (staged(("a" * 129, "A", "x"), B), ["long-id stages[0]"]), (logged(SRC, HAND), []), (logged((0, "handoff", "a", "A", "x"), HAND), ["no-source events"]), (logged(SRC, (1, "source", "b", "B", "y")), ["second-source events"]), (logged(SRC, (0, "handoff", "b", "B", "y")), ["repeated-sequence events"]),
+    (logged(SRC, (1, "note", "b", "B", "y")), ["type events[1]"]), (logged((-1, *SRC[1:]), HAND), ["sequence events[0]"]), (logged(SRC, (1, "handoff", " ", "", " ")), ["blank-agent-id events[1]", "blank-agent-name events[1]", "blank-content events[1]"]), (logged((*SRC, "t" * 129), HAND), ["long-timestamp events[0]"]),
+    (staged((None, "A", "x"), (None, "B", "y")), []), (logged(HAND, SRC), []),
+]
+ROOT = (*A, [])
+#: The same of graphs.
+GRAPHS = [
+    (noded(ROOT, (*B, ["a"])), []), ("[", ["not-json payload"]), (noded(ROOT, (*B, ["a"]), schemaVersion="1.0"), ["version payload"]), ('{"schemaVersion":"1.1"}', ["no-nodes payload"]), (noded(ROOT), ["too-few-nodes payload"]), (noded((*A, ["b"]), (*B, ["a"])), ["no-root payload", "cycle a", "cycle b"]),
+    (noded(ROOT, (*B, ["a"]), (*B, ["a"])), ["repeated-id payload"]), (noded(ROOT, (*B, ["z"])), ["missing-parent b"]), (noded(ROOT, (*B, ["b"])), ["own-parent b", "cycle b"]), (noded(ROOT, (*B, ["a", "a "])), ["repeated-parent b"]), (noded(ROOT, (*B, ["a"], {"z": "q"})), ["claim-for-non-parent b"]),
+    (noded(ROOT, ("b", "B", " ", ["a"])), ["blank-field b"]), (noded(ROOT, (*B, ["a"], {"a": " "})), ["blank-claim b"]), (noded(ROOT, (*B, [" "])), ["empty-parent b", "missing-parent b"]), (noded(ROOT, ("b", "B" * 201, "y", ["a"])), ["long-label b"]), (noded(*[(f"n{i}", "A", "x", ["n0"] if i else []) for i in range(51)]), ["too-many-nodes payload"]),
+    (noded(ROOT, (*B, ["a"]), guardrail="g" * 20001), ["long-guardrail payload"]), (noded(ROOT, (*B, ["a"]), ("c", "C", "z", ["b", "d"]), ("d", "D", "z", ["c"])), ["cycle c", "cycle d"]),
+]
+
+
+def planted(spark, sf_dir, cases) -> DataFrame:
+    """Each customer sends one of the cases."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select(F.col("c_custkey").cast("string").alias("run_id"), F.element_at(F.array(*[F.lit(v) for v, _ in cases]), (F.col("c_custkey") % len(cases) + 1).cast("int")).alias("value"))
+
+
+def expected(cases) -> str:
+    rows = ", ".join(f"({i}, '{f.split(' ')[0]}', '{f.split(' ')[1]}')" for i, (_, found) in enumerate(cases) for f in found)
+    return f"SELECT CAST(c_custkey AS VARCHAR) AS run_id, code, location FROM customer JOIN (VALUES {rows}) v(k, code, location) ON c_custkey % {len(cases)} = k"
+
+
+@query(expected(CHAINS))
+def chain_fault_codes(spark, sf_dir):
+    return payloads.chain(planted(spark, sf_dir, CHAINS))[1]
+
+
+@query(expected(GRAPHS))
+def graph_fault_codes(spark, sf_dir):
+    return payloads.graph(planted(spark, sf_dir, GRAPHS))[1]
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS run_id, CASE n_nationkey % 4 WHEN 1 THEN 400 WHEN 2 THEN 413 WHEN 3 THEN 400 ELSE 200 END AS status FROM nation")
+def oversize_status(spark, sf_dir):
+    """Sound payloads, one text over 500,000 characters, payloads over two megabytes, and texts too long in all."""
+    n = F.col("n_nationkey") % 4
+    text = F.repeat(F.lit("x"), F.when(n == 1, 500_001).when(n == 2, 2_000_001).when(n == 3, 400_000).otherwise(5).cast("int"))
+    stage = lambda i: F.struct(F.lit(i).alias("id"), F.lit("L").alias("label"), F.when((n == 2) | ((n == 1) & (F.lit(i) != "a")), "short").otherwise(text).alias("text"))
+    body = F.struct(F.when(n == 2, text).alias("note"), F.array(*map(stage, "abcd")).alias("stages"))
+    own = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("run_id"), F.to_json(body).alias("value"))
+    return payloads.status(own, payloads.chain(own)[1])
