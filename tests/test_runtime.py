@@ -109,6 +109,28 @@ def test_snapshots_and_events(spark):
     assert [(r["sequence"], r["type"]) for r in out.orderBy("sequence").collect()] == [(11, "source-recorded"), (12, "handoff-allowed"), (13, "handoff-blocked"), (14, "session-reset")]
 
 
+def test_snapshot_store(spark, tmp_path):
+    kind, at = "session_id string, event_seq long, stage_ids array<string>", f"file://{tmp_path}/store"
+    runtime.checkpoint(spark.createDataFrame([("a", 1, ["s"]), ("b", 4, ["s", "t"])], kind), at)
+    runtime.checkpoint(spark.createDataFrame([("a", 2, ["s", "u"])], kind), at)
+    newest = lambda f: {r["session_id"]: (r["event_seq"], r["stage_ids"]) for r in f.collect()}
+    assert newest(runtime.resume(spark, at)) == {"a": (2, ["s", "u"]), "b": (4, ["s", "t"])}
+    assert newest(runtime.resume(spark, at, spark.createDataFrame([("a",), ("c",)], "session_id string"))) == {"a": (2, ["s", "u"]), "c": (None, None)}
+    ids = [r[0] for r in spark.range(50).select(runtime.new_session_id()).collect()]
+    assert len(set(ids)) == 50 and all(len(i) == 24 and i[4:] == i[4:].upper() for i in ids)
+
+
+def test_long_sessions_come_in_many_batches(spark):
+    """One session of more rows than a batch holds, others around it, out of order."""
+    rows = [("b", i, "r", i * 1000) for i in range(25_000)] + [(t, i, "r", i * 1000) for t in "ac" for i in range(3)]
+    random.Random(5).shuffle(rows)
+    asked = spark.createDataFrame([(t, i, n) for t, i, _, n in rows], "tenant string, request_id long, now_ms long")
+    got = {(r["tenant"], r["request_id"]): (r["allowed"], r["retry_after_ms"]) for r in session.rate_limit(asked, quota=2, window=5000).collect()}
+    assert len(got) == len(rows) and got["a", 2] == (False, 3000)
+    for i in range(25_000):
+        assert got["b", i] == ((True, 0) if i % 5 < 2 else (False, 5000 - i % 5 * 1000))
+
+
 def test_recovery_text(spark):
     st = samples.stages(spark)
     got = {r["run_id"]: r["recovery"] for r in report.recovery_text(st, detect.analyse(st)).collect()}

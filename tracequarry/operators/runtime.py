@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import json_string
@@ -117,6 +117,24 @@ def snapshots(stages: DataFrame, issues: DataFrame, threshold: str = "medium") -
     )
 
 
+def new_session_id() -> Column:
+    """SES- and 20 hexadecimal digits, others in each run and each attempt of a task: store the rows before they are used twice."""
+    return F.concat(F.lit("SES-"), F.upper(F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(20))))
+
+
+def checkpoint(snapshots: DataFrame, path: str) -> None:
+    """Append snapshots to a store in a shared folder; older ones stay."""
+    snapshots.write.mode("append").parquet(path)
+
+
+def resume(spark: SparkSession, path: str, session_ids: DataFrame | None = None) -> DataFrame:
+    """Each session's newest snapshot of a store, by event_seq; of the given session_id rows only, null beyond the id for one that is not there. See restored() for what may come back."""
+    every = spark.read.parquet(path)
+    rest = [c for c in every.columns if c != "session_id"]
+    newest = every.groupBy("session_id").agg(F.max_by(F.struct(*rest), "event_seq").alias("s")).select("session_id", "s.*")
+    return newest if session_ids is None else session_ids.select("session_id").distinct().join(newest, "session_id", "left")
+
+
 def restored(saved: DataFrame, rules: DataFrame) -> DataFrame:
     """saved (see snapshot_faults) and rules (session_id, rule_id: given at the restart) to (session_id, accepted, codes): sound snapshots whose rule ids are those given come back."""
     given = rules.groupBy("session_id").agg(F.array_sort(F.collect_list(trimmed("rule_id"))).alias("given"))
