@@ -153,3 +153,11 @@ def test_builders(spark):
 ])
 def test_any_values(spark, raw, wanted):
     assert spark.createDataFrame([(raw,)], "raw string").select(otlp.decoded(F.col("raw")).alias("v")).first()["v"] == wanted
+
+
+def test_exports():
+    for name in tq.__all__:
+        assert getattr(tq, name) is not None
+    assert tq.analyse is detect.analyse and tq.chain_report is report.chain_report and "Graph" in tq.__all__
+    with pytest.raises(AttributeError):
+        tq.nothing

@@ -1,12 +1,17 @@
 """tracequarry: reliability analytics of multi-agent text traces on Spark DataFrames."""
 
-from .operators import detect, evals, graph, policy, report, rollup, runtime, session, signals
-from .operators.detect import Rule, analyse
-from .operators.graph import graph_report
-from .operators.report import chain_report
-from .sources import otlp, payloads, samples
-from .sources.payloads import Chain, Graph
-from .streaming import gate
-
-__all__ = ["Chain", "Graph", "Rule", "analyse", "chain_report", "detect", "evals", "gate", "graph", "graph_report", "otlp", "payloads", "policy", "report", "rollup", "runtime", "samples", "session", "signals"]
+from importlib import import_module
+
 __version__ = "0.1.0"
+MODULES = {**dict.fromkeys("detect evals graph policy report rollup runtime signals".split(), "operators"), **dict.fromkeys("otlp payloads samples".split(), "sources"), "gate": "streaming"}
+NAMES = {"Chain": "payloads", "Graph": "payloads", "Rule": "detect", "analyse": "detect", "chain_report": "report", "graph_report": "graph"}
+__all__ = sorted([*MODULES, *NAMES])
+
+
+def __getattr__(name: str):
+    """Imported when first asked for: Python workers, which import this package too, load nothing that they don't need."""
+    if name in MODULES:
+        return import_module(f".{MODULES[name]}.{name}", __name__)
+    if name in NAMES:
+        return getattr(__getattr__(NAMES[name]), name)
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
