@@ -62,3 +62,11 @@ def test_an_instruction_that_changes_within_a_run(spark):
 def test_no_text_and_no_label_in_the_way(spark):
     st = spark.createDataFrame(rows([(None, None), (" ", "Keep boxes dry."), ("5 boxes", None)], [("x", None)]), STAGES)
     assert {(r["run_id"], r["edge_index"], r["title"]) for r in detect.analyse(st).collect()} == {("r0", 0, "Stage content is missing"), ("r0", 1, "Stage content is missing")}
+
+
+def test_words_between_ascii_edges(spark):
+    """By its SQL, first_break takes words of other letters between ASCII edges; detectors by themselves take them anywhere."""
+    guard = "Éierchen éon elleierpa la."
+    st = spark.createDataFrame(rows([(guard, guard), ("Çaux êonon éauxè éonauxê.", guard), ("Éierchen.", guard)]), STAGES)
+    assert detect.analyse(st).filter("type = 'guardrail'").count() == 0
+    assert [r["edge_index"] for r in detect.analyse(st, edged=True).filter("type = 'guardrail'").collect()] == [0]
